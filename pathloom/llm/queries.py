@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.common import table
 from pathloom.llm.runs import collapse_runs
+from pathloom.llm.tokens import encode_corpus
 
 GAP_S = 300
+#: Where the public tokenizers' files are.
+TOKENIZERS = os.environ.get("PATHLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +40,10 @@ s as (select tripid, run, min(pos) as first_pos, max(pos) as last_pos, count(*)
 P3_RUNS = _P3 + "select tripid, first_pos, last_pos, n, linkid, forward, duration_s from s"
 P3_FOUND = _P3 + "select tripid, first_pos, last_pos from s where n >= 2"
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs}
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids}
 SQL = {"p3_found": P3_FOUND, "p3_runs": P3_RUNS}
