@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.common import table
+from pathloom.llm.leaks import leaked_items
 from pathloom.llm.runs import collapse_runs
 from pathloom.llm.tokens import encode_corpus
 
@@ -45,5 +46,13 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids}
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 SQL = {"p3_found": P3_FOUND, "p3_runs": P3_RUNS}
