@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathloom.common import table
 from pathloom.llm.leaks import leaked_items
 from pathloom.llm.runs import collapse_runs
+from pathloom.llm.subjects import subject_areas
 from pathloom.llm.tokens import encode_corpus
 
 GAP_S = 300
@@ -54,5 +55,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subject_areas(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "subjects"), table(spark, sf_dir, "labels"))
+    return found.withColumn("fraction", F.round("fraction", 6))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_subjects": p10_subjects}
 SQL = {"p3_found": P3_FOUND, "p3_runs": P3_RUNS}
