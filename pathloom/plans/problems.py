@@ -1,14 +1,15 @@
-"""Queries of the general training-data problems: p4 (grid), p5 (references), p7 (nearby points)."""
+"""Queries of the general training-data problems: p1 (stops and trips), p4 (grid), p5 (references), p7 (nearby points)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathloom.common import table
 from pathloom.operators.grid import empty_cells, regular_grid
 from pathloom.operators.nearby import latest_position, points_within
 from pathloom.operators.references import Parent, Reference, orphan_references, orphans_per_period
+from pathloom.operators.stays import stops_and_trips
 
 #: The first and the last year in which a clock value of coords can be right.
 YEARS = (2012, 2017)
@@ -17,12 +18,26 @@ BOX = (35.0, 43.0, -33.0, -23.0)
 WALK_M = 100.0
 
 
+def right_clock(col: str) -> Column:
+    """Whether a clock value lies in the years in which it can be right."""
+    t = F.col(col).cast("timestamp")
+    return (t >= F.lit(f"{YEARS[0]}-01-01").cast("timestamp")) & (t < F.lit(f"{YEARS[1] + 1}-01-01").cast("timestamp"))
+
+
+def p1_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coords = table(spark, sf_dir, "coords")
+    legs = stops_and_trips(coords, "tripid", "sequence", "datetime", "x", "y", "speed_mph", "haccuracy_ft", accept=right_clock("datetime"))
+    return legs.withColumn("feet", F.round(F.col("metres") / 0.3048, 1)).drop("metres")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_legs(spark, sf_dir).select("tripid", "kind", "leg_no")
+
+
 def speed_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """coords.speed_mph per recording and half-minute."""
     coords = table(spark, sf_dir, "coords")
-    low, high = F.lit(f"{YEARS[0]}-01-01").cast("timestamp"), F.lit(f"{YEARS[1] + 1}-01-01").cast("timestamp")
-    t = F.col("datetime").cast("timestamp")
-    return regular_grid(coords, "tripid", "datetime", "speed_mph", step_s=30, accept=(F.col("speed_mph") >= 0) & (t >= low) & (t < high))
+    return regular_grid(coords, "tripid", "datetime", "speed_mph", step_s=30, accept=(F.col("speed_mph") >= 0) & right_clock("datetime"))
 
 
 def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,5 +141,5 @@ where 2 * 6371008.8 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2
   + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) <= 100
 """
 
-QUERIES = {"p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_legs": p1_legs, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found}
 SQL = {"p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p7_found": P7_FOUND}
