@@ -1,4 +1,4 @@
-"""Queries of the general training-data problems: p1 (stops and trips), p4 (grid), p5 (references), p7 (nearby points)."""
+"""Queries of the general training-data problems: p1 (stops and trips), p4 (grid), p5 (references), p6 (spikes), p7 (nearby points)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathloom.common import table
 from pathloom.operators.grid import empty_cells, regular_grid
 from pathloom.operators.nearby import latest_position, points_within
 from pathloom.operators.references import Parent, Reference, orphan_references, orphans_per_period
+from pathloom.operators.spikes import implausible_readings, score_readings, wrong_summaries
 from pathloom.operators.stays import stops_and_trips
 
 #: The first and the last year in which a clock value of coords can be right.
@@ -122,6 +123,39 @@ from o left join f using (parent, key) group by all"""
 )
 
 
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_readings(table(spark, sf_dir, "coords"), "tripid", "sequence", "datetime", "speed_mph")
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = implausible_readings(table(spark, sf_dir, "coords"), "tripid", "sequence", "datetime", "speed_mph")
+    sums = wrong_summaries(found, table(spark, sf_dir, "trips_df"), "tripid", "avg_speed_mph_gps", "max_speed_mph_gps", "speed_mph")
+    pings = found.where("rule <> 'source'").select("tripid", F.col("sequence").cast("int").alias("sequence"))
+    return pings.unionByName(sums.select("tripid", F.lit(-1).alias("sequence")))
+
+
+P6_FOUND = """
+with p as (select distinct tripid, sequence as s, case when speed_mph = -1 or isnan(speed_mph) then null else speed_mph end as v from coords),
+q as (select *, case when v > 0 and v = lag(v) over w then 0 else 1 end as fresh from p window w as (partition by tripid order by s)),
+r as (select *, sum(fresh) over (partition by tripid order by s rows unbounded preceding) as run from q),
+t as (select *, v is not null and (v < 0 or v > 70) as a, v > 0 and count(*) over (partition by tripid, run) >= 12 as b from r),
+u as (select *, case when v is not null and not a and not b then v end as n from t),
+w as (select *, least(n, lead(n, 1) over x, lead(n, 2) over x, lead(n, 3) over x) as l,
+  n is not null and lead(n, 1) over x is not null and lead(n, 2) over x is not null and lead(n, 3) over x is not null as full4
+  from u window x as (partition by tripid order by s)),
+h as (select tripid, max(case when full4 then l end) as held from w group by tripid),
+l as (select distinct tripid, n from u where n is not null),
+g as (select *, lag(n) over (partition by tripid order by n) as under from l),
+bar as (select tripid, min(n) as bar from g join h using (tripid) where n > coalesce(held, -1) and n > 4 * under / 3 and n > under + 7 group by tripid),
+m as (select tripid, avg(v) as mean, max(v) as most from p where v is not null group by tripid)
+select tripid, s as sequence from u where a or b
+union all select tripid, s from u join bar using (tripid) where n >= bar
+union all select distinct t.tripid, -1 from trips_df t left join m on m.tripid = t.tripid
+where t.avg_speed_mph_gps not between mean / 2 and mean * 2 or t.max_speed_mph_gps not between most / 2 and most * 2 or t.avg_speed_mph_gps > t.max_speed_mph_gps
+"""
+
+
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = latest_position(table(spark, sf_dir, "stops"), "stop_id", "stop_lat", "stop_lon", "feed_date", BOX)
     return points_within(stops, "stop_id", "lat", "lon", WALK_M)
@@ -141,5 +175,5 @@ where 2 * 6371008.8 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2
   + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) <= 100
 """
 
-QUERIES = {"p1_found": p1_found, "p1_legs": p1_legs, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_report": p5_report, "p7_found": p7_found}
-SQL = {"p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p7_found": P7_FOUND}
+QUERIES = {"p1_found": p1_found, "p1_legs": p1_legs, "p4_found": p4_found, "p4_grid": p4_grid, "p5_found": p5_found, "p5_report": p5_report, "p6_found": p6_found, "p6_scores": p6_scores, "p7_found": p7_found}
+SQL = {"p4_found": P4_FOUND, "p4_grid": P4_GRID, "p5_found": P5_FOUND, "p5_report": P5_REPORT, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
