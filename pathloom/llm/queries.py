@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathloom.common import table
 from pathloom.llm.leaks import leaked_items
+from pathloom.llm.matching import encode_records, match_records
 from pathloom.llm.runs import collapse_runs
 from pathloom.llm.subjects import subject_areas
 from pathloom.llm.tokens import encode_corpus
@@ -18,6 +19,18 @@ GAP_S = 300
 TOKENIZERS = os.environ.get("PATHLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feet = 0.3048
+    links = encode_records(table(spark, sf_dir, "cycleways_osm"), "linkid", ["name"], ["facility"], "lon", "lat", "length_ft", feet)
+    rows = encode_records(table(spark, sf_dir, "merged"), "merged_id", ["coa_name", "arc_name"], ["coa_osm_type", "arc_osm_type"], "lon", "lat", "length_ft", feet)
+    found = match_records(links, rows).withColumnsRenamed({"a_id": "linkid", "b_id": "merged_id"})
+    return found.select("linkid", "merged_id", *[F.round(c, 6).alias(c) for c in ("name", "class", "overlap", "length", "apart", "score", "confidence")], "kind")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_matches(spark, sf_dir).where("confidence >= 0.5").select("linkid", "merged_id")
+
+
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = collapse_runs(table(spark, sf_dir, "merged_df"), "tripid", "pos", "linkid", "forward", "datetime", GAP_S)
     return runs.select(
@@ -64,5 +77,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {"p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_runs": p3_runs, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks, "p10_found": p10_found, "p10_subjects": p10_subjects}
 SQL = {"p3_found": P3_FOUND, "p3_runs": P3_RUNS}
