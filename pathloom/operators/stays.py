@@ -197,7 +197,7 @@ def _decoded(pieces: list[dict], r: StayRules) -> Iterator[pd.DataFrame]:
             first, last = max(own[0], 1), own[-1]
             tx, ty, tt = x[:n, j], y[:n, j], g["t"]
             if n == 1 or last < first:
-                out.append((g["rec"], g["piece"], 0, False, tt[own[0]], tt[own[0]], tx[own[0]], ty[own[0]], tx[own[0]], ty[own[0]], tx[own[0]], ty[own[0]], 0.0, 0.0, 1))
+                out.append((g["rec"], g["piece"], 0, 0, tt[own[0]], tt[own[0]], tx[own[0]], ty[own[0]], tx[own[0]], ty[own[0]], tx[own[0]], ty[own[0]], 0.0, 0.0, 1))
                 continue
             i = np.arange(first, last + 1)
             state = moving[i - 1, j].astype(np.int64)
