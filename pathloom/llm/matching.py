@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.common import cut
+
 #: Kinds of streets and how they are shortened.
 KINDS = {
     "avenue": "ave av aven", "boulevard": "blvd bvd blv boul", "circle": "cir", "connector": "conn con connection cnctr", "court": "ct", "drive": "dr drv", "greenway": "grnwy gnwy gwy",
@@ -171,7 +173,7 @@ def candidates(a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
     near = apart <= F.lit(SLACK_M) + (longer - shorter) / 2
     for a_long in (True, False):
         x, y = _cells(_named(a), a_long, scale), _cells(_named(b), not a_long, scale)
-        pairs = _side(x, "a").join(_side(y, "b"), ["block", "part"])
+        pairs = _side(x, "a").hint("merge").join(_side(y, "b"), ["block", "part"])
         pairs = pairs.where((F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code"))) <= NAME_RADIUS) & near)
         pairs = pairs.select("a_id", "b_id").distinct()
         found = pairs if found is None else found.unionByName(pairs)
@@ -182,7 +184,7 @@ def candidates(a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
         x = flat(x, True).withColumn("window", F.explode(F.array(*[F.floor(F.col("step") / width) + i for i in (-1, 0, 1)])))
         y = flat(y, False).withColumn("window", F.floor(F.col("step") / width))
         # a place's block is that of the smallest class; the shorter side's other classes meet nothing
-        pairs = _side(x, "a").join(_side(y, "b"), ["block", "window"])
+        pairs = _side(x, "a").hint("merge").join(_side(y, "b"), ["block", "window"])
         pairs = pairs.where((F.abs(F.col("a_step") - F.col("b_step")) <= LENGTH_RADIUS) & (apart <= SLACK_M)).select("a_id", "b_id").distinct()
         found = found.unionByName(pairs)
     return found.distinct()
@@ -190,7 +192,7 @@ def candidates(a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
 
 def scored(pairs: DataFrame, a: DataFrame, b: DataFrame, w: Weights) -> DataFrame:
     """Pairs with the similarities of their fields and the weighted score."""
-    both = pairs.join(_side(a, "a"), "a_id").join(_side(b, "b"), "b_id")
+    both = pairs.join(_side(a, "a").hint("merge"), "a_id").join(_side(b, "b").hint("merge"), "b_id")
     dice = "2D * (bit_count(x.c & y.c) + bit_count(x.l & y.l)) / (bit_count(x.c) + bit_count(y.c) + bit_count(x.l) + bit_count(y.l))"
     said = "transform({0}_codes, (c, i) -> struct(c, {0}_letters[i] as l, {0}_kinds[i] as k))"
     # the most similar of the names; at equal similarity the one whose kind agrees, or is unknown, before one that contradicts
@@ -256,11 +258,12 @@ def match_records(a: DataFrame, b: DataFrame, weights: Weights = Weights()) -> D
     in the same way. Blocks come in classes of doubling size by the length of the longer record. Field similarities are Dice
     coefficients (of bits and letter pairs) and shares of length, weighted; the score's distribution over all candidates calibrates the confidence.
     """
-    spark = a.sparkSession
+    # the records are read by eight branches, the scores by two: both are written once
+    a, b = cut(a), cut(b)
     most = a.select(F.abs("lat").alias("l")).unionByName(b.select(F.abs("lat").alias("l"))).agg(F.max("l")).first()[0]
     # east-west metres at the highest latitude: never more than the real ones, so no pair is farther apart in blocks
     scale = math.radians(1) * EARTH_M * math.cos(math.radians(most or 0.0))
-    rows = scored(candidates(a, b, scale), a, b, weights)
+    rows = cut(scored(candidates(a, b, scale), a, b, weights))
     histogram = rows.groupBy(F.round(F.col("score") * 200).cast("int").alias("bin")).count().toPandas()  # at most 201 rows
     slope = calibrate(histogram["bin"].to_numpy(float) / 200, histogram["count"].to_numpy(float), weights.even)
     return rows.withColumn("confidence", 1 / (1 + F.exp(-(F.col("score") - weights.even) * slope)))
