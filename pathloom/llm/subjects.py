@@ -125,7 +125,9 @@ def seeds(counts: np.ndarray, totals: np.ndarray, overall: np.ndarray, base: np.
     k = len(counts)
     p = (counts + 4 * base[:, None]) / (totals + 4)
     best = p.argmax(axis=0)
-    pure = np.clip((p.max(axis=0) - 0.3) / 0.4, 0, 1)
+    top = np.sort(np.vstack([p, np.zeros_like(totals)]), axis=0)
+    # as far as the subject is above what terms of all subjects have, and ahead of the next one
+    pure = np.clip((top[-1] - np.maximum(0.3, top[-2] + 0.15)) / 0.4, 0, 1)
     h = np.full((k + 1, len(totals)), 1e-12)
     h[best, np.arange(len(totals))] += pure * overall
     h[:k] += 0.02 * overall * p * (pure > 0)
