@@ -16,7 +16,7 @@ END = regex.compile(r"(?<=[.!?…]['\"”’»)\]]{0,3})\s+|(?<=[。！？؟।]
 BEFORE = regex.compile(r"^[\s>*•#|\-–]*(?:\d+[;,|\t]\s*(?:[^\W\d_]{1,3}[;,|\t]\s*)?)?[\"']*")
 UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 #: A line longer than this many words without an end has lost its punctuation; it is cut into pieces of PIECE words.
-RUN_ON, PIECE = 40, 13
+RUN_ON, PIECE = 24, 13
 #: Fewer words (of two letters or more; letters of scripts that don't space words) are no sentence.
 LEAST_WORDS, LEAST_LETTERS = 3, 4
 LETTERS = regex.compile(r"[^\W\d_]{2,}")
