@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathloom.functions import scalars as S
 from pathloom.operators import relational as R
-from pathloom.plans.fixtures import fixture, oracle
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
+from pathloom.plans.fixtures import fixture
+from pathloom.plans.registry import Registry
 
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL of the same result."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = oracle(sql)
-        return f
-
-    return add
+query = Registry()
+QUERIES, SQL = query.queries, query.sql
 
 
 @query("select orig_taz, dest_taz, trips from {fx_od}")
@@ -290,8 +277,6 @@ def json_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     select linkid, dist, round(least(10, case when slope < -30 then 1.5 when slope < 0 then 1 + 2 * (0.7 / 13) * slope + 0.7 / 13 / 13 * slope * slope when slope <= 20 then 1 + (slope / g) ** 2 else 10 end), 6) as factor from f"""
 )
 def speed_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("linkid").orderBy("dist")
     p = fixture(spark, sf_dir, "fx_profile").withColumn("slope", (F.col("elev") - F.lag("elev").over(w)) / 10 * 100).where("slope is not null")
     return p.select("linkid", "dist", F.round(S.slope_factor(F.col("slope"), F.col("dist") * 3), 6).alias("factor"))
