@@ -25,8 +25,20 @@ FIXTURES: dict[str, str] = {
         case linkid % 8 when 0 then 'bike lane' when 1 then 'cycletrack' when 2 then 'multi use path' when 3 then 'buffered bike lane' when 4 then 'sharrow' else null end as facility_fwd,
         case linkid % 10 when 0 then 'bike lane' when 3 then 'cycletrack' when 7 then 'sharrow' else null end as facility_rev,
         cast((linkid * 13) % 90 as double) / 10 as grade from {fx_links}""",
-    "fx_directed": """select linkid, A, B, false as reverse_link, ax, ay, bx, by, length_ft, oneway, link_type, year from {fx_links}
-        union all select linkid, B as A, A as B, true as reverse_link, bx as ax, by as ay, ax as bx, ay as by, length_ft, oneway, link_type, year from {fx_links}""",
+    "fx_directed": """select l.linkid, l.A, l.B, false as reverse_link, l.ax, l.ay, l.bx, l.by, l.length_ft, l.oneway, l.link_type, l.year from {fx_links} l
+        union all select l.linkid, l.B as A, l.A as B, true as reverse_link, l.bx as ax, l.by as ay, l.ax as bx, l.ay as by, l.length_ft, l.oneway, l.link_type, l.year from {fx_links} l""",
+    "fx_azimuths": """select e.*, ((degrees(atan2(e.bx - e.ax, e.by - e.ay)) % 360) + 360) % 360 as azimuth from {fx_directed} e""",
+    "fx_turn_rows": """select s.linkid as source_linkid, s.reverse_link as source_reverse_link, s.A as source_A, s.B as source_B, t.linkid as target_linkid, t.reverse_link as target_reverse_link, t.A as target_A, t.B as target_B,
+        s.link_type as source_link_type, t.link_type as target_link_type, t.length_ft as target_length_ft, (((t.azimuth - s.azimuth) % 360) + 360) % 360 as azimuth_change
+        from {fx_azimuths} s join {fx_azimuths} t on s.B = t.A and s.linkid <> t.linkid""",
+    "fx_turns": """select *, case when azimuth_change > 330 or azimuth_change < 30 then 'straight' when azimuth_change <= 150 then 'right' when azimuth_change < 210 then 'uturn' else 'left' end as turn_type from {fx_turn_rows}""",
+    "fx_costs": """select linkid, reverse_link, A, B, link_type, length_ft, length_ft / 5280 / 9 * 60 as base_min,
+        round(length_ft / 5280 / 9 * 60 * (1 + case link_type when 'road' then 0.5 when 'bike' then -0.2 else 0 end), 8) as cost from {fx_directed}""",
+    "fx_priced": """select t.source_linkid, t.source_reverse_link, t.target_linkid, t.target_reverse_link, l.cost as target_cost,
+        case turn_type when 'left' then 0.1 when 'uturn' then 0.3 else 0 end as turn_cost, l.cost + case turn_type when 'left' then 0.1 when 'uturn' then 0.3 else 0 end as total_cost
+        from {fx_turns} t join {fx_costs} l on t.target_linkid = l.linkid and t.target_reverse_link = l.reverse_link""",
+    "fx_zones": """select cast(c_nationkey as bigint) as taz, min(N) as N from (select A as N from {fx_links} union select B from {fx_links}) n join {customer} on c_custkey = N group by 1""",
+    "fx_od_nodes": "select o.orig_taz, o.dest_taz, o.trips, a.N as origin, b.N as dest from {fx_od} o join {fx_zones} a on a.taz = o.orig_taz join {fx_zones} b on b.taz = o.dest_taz",
     "fx_trace": """select cast(user_id as bigint) as tripid, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as sequence, ts, event_id, event_type,
         value / 20 as speed_mph, cast((event_id * 37) % 10007 as double) as x, cast((event_id * 53) % 10009 as double) as y from {events}""",
     "fx_profile": """select cast(l_orderkey as bigint) as linkid, cast(10 * (row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) as double) as dist,
