@@ -52,62 +52,156 @@ def relax(starts: DataFrame, turns: DataFrame, cutoff: float | None = None, most
     return best.drop("fresh")
 
 
-def _dijkstra(graph, cutoff: float | None):
-    columns = ["origin", "linkid", "reverse_link", "d", "p_linkid", "p_reverse_link"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        offsets, targets, costs, links, back, place = graph.value
-        n = len(links)
-        seeds: dict[int, list[tuple[float, int]]] = {}
-        for b in batches:
-            for o, link, r, d in zip(b["origin"], b["linkid"], b["reverse_link"], b["d"]):
-                k = place.get((int(link), bool(r)))
-                if k is not None:
-                    seeds.setdefault(o, []).append((float(d), k))
-        for o, first in seeds.items():
-            dist, prev = np.full(n, np.inf), np.full(n, -1, np.int64)
-            heap = []
-            for d, k in first:
-                if d < dist[k] and (cutoff is None or d <= cutoff):
-                    dist[k] = d
-                    heap.append((d, k))
-            heapq.heapify(heap)
-            while heap:
-                d, k = heapq.heappop(heap)
-                if d > dist[k]:
+class Graph:
+    """A turn graph in arrays: its states (directed links), and per candidate the offsets, targets and costs of the turns out of each."""
+
+    def __init__(self, turns: pd.DataFrame, starts: pd.DataFrame) -> None:
+        links = np.concatenate([turns["source_linkid"], turns["target_linkid"], starts["linkid"]]).astype(np.int64)
+        back = np.concatenate([turns["source_reverse_link"], turns["target_reverse_link"], starts["reverse_link"]]).astype(bool)
+        codes, first = np.unique(links * 2 + back, return_index=True)
+        self.codes, self.links, self.back = codes, links[first], back[first]
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for c, t in turns.groupby("candidate"):
+            src, dst = self.place(t["source_linkid"], t["source_reverse_link"]), self.place(t["target_linkid"], t["target_reverse_link"])
+            order = np.argsort(src, kind="stable")
+            self.of[int(c)] = np.searchsorted(src[order], np.arange(len(codes) + 1)), dst[order], t["total_cost"].to_numpy(float)[order]
+
+    def place(self, links, back) -> np.ndarray:
+        return np.searchsorted(self.codes, np.asarray(links, np.int64) * 2 + np.asarray(back, bool))
+
+    def tree(self, candidate: int, seeds: list[tuple[float, int]], cutoff: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """Least costs from the seeds and the state before each (-1: none); at equal cost the smaller one."""
+        n = len(self.codes)
+        dist, prev = np.full(n, np.inf), np.full(n, -1, np.int64)
+        if candidate not in self.of:
+            offsets, targets, costs = np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        else:
+            offsets, targets, costs = self.of[candidate]
+        heap = []
+        for d, k in seeds:
+            if d < dist[k] and (cutoff is None or d <= cutoff):
+                dist[k] = d
+                heap.append((d, k))
+        heapq.heapify(heap)
+        while heap:
+            d, k = heapq.heappop(heap)
+            if d > dist[k]:
+                continue
+            for e in range(offsets[k], offsets[k + 1]):
+                j, c = targets[e], d + costs[e]
+                if cutoff is not None and c > cutoff:
                     continue
-                for e in range(offsets[k], offsets[k + 1]):
-                    j, c = targets[e], d + costs[e]
-                    if (c < dist[j] or (c == dist[j] and prev[j] > k)) and (cutoff is None or c <= cutoff):
-                        if c < dist[j]:
-                            heapq.heappush(heap, (c, j))
-                        dist[j], prev[j] = c, k
-            k = np.flatnonzero(np.isfinite(dist))
-            p = prev[k]
-            yield pd.DataFrame({"origin": o, "linkid": links[k], "reverse_link": back[k], "d": dist[k], "p_linkid": pd.array(np.where(p < 0, 0, links[p]), dtype="Int64"), "p_reverse_link": pd.array(back[p], dtype="boolean")}).assign(
-                p_linkid=lambda f: f["p_linkid"].mask(p < 0), p_reverse_link=lambda f: f["p_reverse_link"].mask(p < 0)
-            )[columns]
+                if c < dist[j]:
+                    dist[j], prev[j] = c, k
+                    heapq.heappush(heap, (c, j))
+                elif c == dist[j] and k < prev[j]:
+                    prev[j] = k
+        return dist, prev
+
+
+def _small_graph(starts: DataFrame, turns: DataFrame, small: int):
+    """The graph for every task, or None if it has more than `small` turns."""
+    t = turns.select("candidate", "source_linkid", "source_reverse_link", "target_linkid", "target_reverse_link", "total_cost")
+    if t.limit(small + 1).count() > small:
+        return None
+    return turns.sparkSession.sparkContext.broadcast(Graph(t.toPandas(), starts.select("linkid", "reverse_link").distinct().toPandas()))
 
-    return run
+
+def _with_candidate(df: DataFrame) -> DataFrame:
+    return df if "candidate" in df.columns else df.withColumn("candidate", F.lit(0))
 
 
 def search(starts: DataFrame, turns: DataFrame, cutoff: float | None = None, small: int = SMALL_GRAPH) -> DataFrame:
     """The same as relax, by one Dijkstra per origin where the graph has at most `small` turns: it is then given to every task, origins are spread over them."""
-    t = turns.select("source_linkid", "source_reverse_link", "target_linkid", "target_reverse_link", "total_cost")
-    if t.limit(small + 1).count() > small:
+    turns = _with_candidate(turns)
+    graph = _small_graph(starts, turns, small)
+    if graph is None:
         return relax(starts, turns, cutoff)
-    g = t.toPandas()
-    s = starts.select("linkid", "reverse_link").distinct().toPandas()
-    states = sorted({*zip(g.source_linkid, g.source_reverse_link), *zip(g.target_linkid, g.target_reverse_link), *zip(s.linkid, s.reverse_link)})
-    place = {(int(a), bool(b)): i for i, (a, b) in enumerate(states)}
-    src = np.array([place[(int(a), bool(b))] for a, b in zip(g.source_linkid, g.source_reverse_link)], np.int64)
-    dst = np.array([place[(int(a), bool(b))] for a, b in zip(g.target_linkid, g.target_reverse_link)], np.int64)
-    order = np.argsort(src, kind="stable")
-    offsets = np.searchsorted(src[order], np.arange(len(states) + 1))
-    graph = turns.sparkSession.sparkContext.broadcast((offsets, dst[order], g.total_cost.to_numpy(float)[order], np.array([a for a, _ in states], np.int64), np.array([b for _, b in states], bool), place))
     kind = starts.schema["origin"].dataType.simpleString()
-    rows = starts.select("origin", "linkid", "reverse_link", "d").repartition("origin")
-    return rows.mapInPandas(_dijkstra(graph, cutoff), f"origin {kind}, linkid bigint, reverse_link boolean, d double, p_linkid bigint, p_reverse_link boolean")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        for b in batches:
+            k = g.place(b["linkid"], b["reverse_link"])
+            for o, rows in b.assign(_k=k).groupby("origin"):
+                dist, prev = g.tree(0, list(zip(rows["d"], rows["_k"])), cutoff)
+                k = np.flatnonzero(np.isfinite(dist))
+                p, none = prev[k], prev[k] < 0
+                yield pd.DataFrame({
+                    "origin": o, "linkid": g.links[k], "reverse_link": g.back[k], "d": dist[k],
+                    "p_linkid": pd.Series(g.links[p]).astype("Int64").mask(none), "p_reverse_link": pd.Series(g.back[p]).astype("boolean").mask(none),
+                })
+
+    # an origin's first links must come in one batch: they are packed and unpacked around the exchange
+    packed = starts.groupBy("origin").agg(F.collect_list(F.struct("linkid", "reverse_link", "d")).alias("s"))
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for o, s in zip(b["origin"], b["s"]):
+                yield from run(iter([pd.DataFrame([{"origin": o, **x.asDict()} if hasattr(x, "asDict") else {"origin": o, **x} for x in s])]))
+
+    return packed.repartition("origin").mapInPandas(unpacked, f"origin {kind}, linkid bigint, reverse_link boolean, d double, p_linkid bigint, p_reverse_link boolean")
+
+
+def routes(starts: DataFrame, turns: DataFrame, edges: DataFrame, ods: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
+    """Least-cost routes: (candidate,) origin, dest, d, edges (array of linkid and reverse_link in order). Unconnected pairs are left out; a pair to itself has no edges and costs 0.
+
+    Starts and turns may have a `candidate`, a number of a variant of costs: all variants are routed in one job. Small graphs go to every task; with others, of one
+    variant, frontiers are relaxed and walked back by joins.
+    """
+    varied = "candidate" in turns.columns
+    starts, turns = _with_candidate(starts), _with_candidate(turns)
+    graph = _small_graph(starts, turns, small)
+    pairs = ods.select("origin", "dest").distinct()
+    if graph is None:
+        if varied:
+            raise ValueError("variants of a large graph are routed one by one")
+        reached = cut(relax(starts, turns))
+        last = to_nodes(reached, edges, pairs)
+        steps = route_edges(reached, last)
+        packed = steps.groupBy("origin", "dest").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("k"), "linkid", "reverse_link"))).alias("e"))
+        e = F.transform(F.coalesce("e", F.array().cast("array<struct<k:int,linkid:bigint,reverse_link:boolean>>")), lambda x: F.struct(x["linkid"].alias("linkid"), x["reverse_link"].alias("reverse_link")))
+        return last.join(packed, ["origin", "dest"], "left").select("origin", "dest", "d", e.alias("edges"))
+    # the links that enter each destination, as many as its streets
+    ends = edges.select(F.col("B").alias("dest"), "linkid", "reverse_link").join(pairs.select("dest").distinct(), "dest").groupBy("dest").agg(F.collect_list(F.struct("linkid", "reverse_link")).alias("ends"))
+    wanted = pairs.join(ends, "dest").groupBy("origin").agg(F.collect_list(F.struct("dest", "ends")).alias("to"))
+    first = starts.groupBy("candidate", "origin").agg(F.collect_list(F.struct("linkid", "reverse_link", "d")).alias("s"))
+    kinds = starts.schema["origin"].dataType.simpleString(), ods.schema["dest"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        for b in batches:
+            for c, o, s, to in zip(b["candidate"], b["origin"], b["s"], b["to"]):
+                k = g.place([x["linkid"] for x in s], [x["reverse_link"] for x in s])
+                dist, prev = g.tree(int(c), [(x["d"], i) for x, i in zip(s, k)], None)
+                out = []
+                for t in to:
+                    if t["dest"] == o:
+                        out.append((c, o, o, 0.0, []))
+                        continue
+                    codes = np.array([x["linkid"] * 2 + bool(x["reverse_link"]) for x in t["ends"]], np.int64)
+                    at = np.minimum(np.searchsorted(g.codes, codes), len(g.codes) - 1)
+                    at = at[(g.codes[at] == codes) & np.isfinite(dist[at])]
+                    if not len(at):
+                        continue
+                    i = int(min(at, key=lambda x: (dist[x], x)))
+                    d, path = float(dist[i]), []
+                    while i >= 0:
+                        path.append({"linkid": int(g.links[i]), "reverse_link": bool(g.back[i])})
+                        i = int(prev[i])
+                    out.append((c, o, t["dest"], d, path[::-1]))
+                if out:
+                    yield pd.DataFrame(out, columns=["candidate", "origin", "dest", "d", "edges"])
+
+    schema = f"candidate int, origin {kinds[0]}, dest {kinds[1]}, d double, edges array<struct<linkid:bigint,reverse_link:boolean>>"
+    found = first.join(wanted, "origin").repartition("candidate", "origin").mapInPandas(run, schema)
+    return found if varied else found.drop("candidate")
+
+
+def edges_of_routes(found: DataFrame) -> DataFrame:
+    """A row per directed link of each route, with its place from 0."""
+    keys = [c for c in ("candidate", "origin", "dest") if c in found.columns]
+    return found.select(*keys, F.posexplode("edges").alias("pos", "e")).select(*keys, "pos", "e.linkid", "e.reverse_link")
 
 
 def to_nodes(reached: DataFrame, edges: DataFrame, ods: DataFrame) -> DataFrame:

@@ -217,9 +217,9 @@ def _judged(r: SpikeRules):
                 rows.loc[rows["rule"] == "candidate", "rule"] = "spike"
                 n = int(source["n"].sum())
                 whole = pd.DataFrame({"rec": [rec], "seq": [None], "v": [source["v"].max() if n else np.nan], "score": [source["total"].sum() / n if n else np.nan], "rule": ["source"]})
-                out += [rows[["rec", "seq", "v", "score", "rule"]], whole]
+                out += [x[["rec", "seq", "v", "score", "rule"]].astype({"seq": "Int64", "v": float, "score": float}) for x in (rows, whole) if len(x)]
             if out:
-                yield pd.concat([x for x in out if len(x)], ignore_index=True).astype({"seq": "Int64"})
+                yield pd.concat(out, ignore_index=True)
 
     return run
 

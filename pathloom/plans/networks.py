@@ -11,6 +11,7 @@ from pathloom.operators import network as N
 from pathloom.operators import relational as R
 from pathloom.operators import routing as P
 from pathloom.operators import spatial as X
+from pathloom.operators.transit import transfers
 from pathloom.plans.fixtures import fixture
 from pathloom.plans.registry import Registry
 
@@ -177,8 +178,6 @@ def spatial_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def transfers_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walking transfers between stops less than a distance apart, and between all that are linked through others."""
-    from pathloom.operators.transit import transfers
-
     return transfers(fixture(spark, sf_dir, "fx_stops"), 600.0, 4.4).withColumn("seconds", F.round("seconds", 4))
 
 
@@ -279,17 +278,22 @@ def bikeshed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark(now.subtract(then), "removed").unionByName(mark(then.subtract(now), "added")).groupBy("origin", "change").agg(F.count(F.lit(1)).alias("links"))
 
 
-def routes_of(spark: SparkSession, sf_dir: str, road: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    ods = fixture(spark, sf_dir, "fx_od_nodes").select("origin", "dest")
-    reached = reached_from_zones(spark, sf_dir, road)
-    last = P.to_nodes(reached, edges_of(spark, sf_dir), ods)
-    return last, P.route_edges(reached, last)
+def routes_of(spark: SparkSession, sf_dir: str, road: float = 0.5) -> DataFrame:
+    """Least-impedance routes of all zone pairs."""
+    ods, e = fixture(spark, sf_dir, "fx_od_nodes").select("origin", "dest"), costs_of(spark, sf_dir, road)
+    return P.routes(P.starts_of(e, ods), priced(spark, sf_dir, road), e, ods)
+
+
+def shortest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by base minutes alone."""
+    ods, e = fixture(spark, sf_dir, "fx_od_nodes").select("origin", "dest"), costs_of(spark, sf_dir)
+    return P.routes(P.starts_of(e, ods, "base_min"), I.priced_turns(turns_of(spark, sf_dir), e, F.col("base_min"), F.lit(0.0)), e, ods)
 
 
 @query()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips over each directed link of the least-impedance routes."""
-    _, edges = routes_of(spark, sf_dir)
+    edges = P.edges_of_routes(routes_of(spark, sf_dir))
     od = fixture(spark, sf_dir, "fx_od_nodes").groupBy("origin", "dest").agg(F.sum("trips").alias("trips"))
     return M.betweenness(edges, od, ["origin", "dest"], "trips", ["linkid", "reverse_link"])
 
@@ -297,30 +301,20 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def percent_detour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trip-weighted detour by origin zone: minutes of the least-impedance route against the shortest."""
-    _, edges = routes_of(spark, sf_dir)
+    edges = P.edges_of_routes(routes_of(spark, sf_dir))
     minutes = edges.join(costs_of(spark, sf_dir).select("linkid", "reverse_link", "base_min"), ["linkid", "reverse_link"]).groupBy("origin", "dest").agg(F.sum("base_min").alias("minutes"))
-    shortest, _ = routes_of_base(spark, sf_dir)
-    od = fixture(spark, sf_dir, "fx_od_nodes").join(minutes, ["origin", "dest"]).join(shortest.select("origin", "dest", F.col("d").alias("least")), ["origin", "dest"])
+    od = fixture(spark, sf_dir, "fx_od_nodes").join(minutes, ["origin", "dest"]).join(shortest_of(spark, sf_dir).select("origin", "dest", F.col("d").alias("least")), ["origin", "dest"])
     out = M.by_zone(od.withColumn("pct", M.percent_detour(F.col("minutes"), F.col("least"))), "orig_taz", F.col("pct"), "trips")
     return out.withColumn("value", F.round("value", 6))
 
 
-def routes_of_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Routes by base minutes alone."""
-    e = costs_of(spark, sf_dir)
-    ods = fixture(spark, sf_dir, "fx_od_nodes").select("origin", "dest")
-    t = I.priced_turns(turns_of(spark, sf_dir), e, F.col("base_min"), F.lit(0.0))
-    reached = P.search(P.starts_of(e, ods.select("origin"), "base_min"), t)
-    return P.to_nodes(reached, e, ods), reached
-
-
 @query()
 def impedance_change_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trip-weighted reduction of the least impedance by zone when roads are improved."""
     ods = fixture(spark, sf_dir, "fx_od_nodes")
     d = {}
     for n, road in (("now", 0.5), ("then", 0.1)):
-        d[n] = P.to_nodes(reached_from_zones(spark, sf_dir, road), edges_of(spark, sf_dir), ods).select("origin", "dest", F.col("d").alias(n))
+        d[n] = routes_of(spark, sf_dir, road).select("origin", "dest", F.col("d").alias(n))
     both = ods.join(d["now"], ["origin", "dest"]).join(d["then"], ["origin", "dest"])
     return M.by_zone(both, "orig_taz", F.col("now") - F.col("then"), "trips").withColumn("value", F.round("value", 6))
 

@@ -1 +1 @@
-
+"""Structured Streaming: an extension, as the reference only has finished files."""
