@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pathloom.common import table
 from pathloom.functions import scalars as S
+from pathloom.functions import tags as G
+from pathloom.operators import conflation as K
 from pathloom.operators import relational as R
 from pathloom.operators import traces as T
 from pathloom.plans.fixtures import fixture
@@ -91,3 +94,69 @@ def repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of links that occur once in their trip, counted."""
     t = fixture(spark, sf_dir, "fx_trace").withColumn("linkid", F.col("x").cast("bigint") % 50)
     return T.without_repeats(t, "tripid", "linkid").groupBy("tripid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """with l as (select distinct linkid, reverse_link, added_at, A, B, link_type, length_ft from {links}), r as (select A as N from l where link_type = 'road' union select B from l where link_type = 'road'),
+    b as (select A as N from l where link_type = 'bike' union select B from l where link_type = 'bike')
+    select linkid, reverse_link, added_at, case when link_type = 'sidewalk' and length_ft < 100 and ((A in (select N from r) and B in (select N from b)) or (A in (select N from b) and B in (select N from r))) then 'pedestrian' else link_type end as link_type from l"""
+)
+def sidewalk_connectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short sidewalks between a road and a bike link."""
+    links = table(spark, sf_dir, "links").select("linkid", "reverse_link", "added_at", "A", "B", "link_type", "length_ft").distinct()
+    return K.sidewalk_connectors(links).select("linkid", "reverse_link", "added_at", "link_type")
+
+
+@query(
+    """select linkid, osmid, case when highway in ('path', 'track', 'pedestrian', 'steps', 'corridor', 'footway') then 'pedestrian' when highway = 'cycleway' then 'bike' when highway = 'service' and name is null then 'service'
+    when highway in ('primary', 'primary_link', 'residential', 'secondary', 'secondary_link', 'tertiary', 'tertiary_link', 'trunk', 'trunk_link', 'unclassified', 'living_street') or highway = 'service' then 'road'
+    when highway in ('motorway', 'motorway_link') then 'restricted_access_road' end as kind from (select distinct linkid, reverse_link, added_at, osmid, highway, name from {links})"""
+)
+def tag_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link types by the tags the links table has."""
+    links = table(spark, sf_dir, "links").select("linkid", "reverse_link", "added_at", "osmid", "highway", "name").distinct()
+    tags = F.map_filter(F.create_map(F.lit("highway"), F.col("highway"), F.lit("name"), F.col("name")), lambda _, v: v.isNotNull())
+    return links.select("linkid", "osmid", G.link_type(tags).alias("kind"))
+
+
+@query()
+def one_to_one_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops and trace points paired one to one within a distance."""
+    stops = fixture(spark, sf_dir, "fx_stops").select(F.col("stop_id").alias("id"), "x", "y")
+    nodes = fixture(spark, sf_dir, "fx_nodes").where("N % 10 <> 0").select(F.col("N").alias("jid"), F.col("x").alias("jx"), F.col("y").alias("jy"))
+    return K.one_to_one(stops, nodes, 400.0).withColumn("distance", F.round("distance", 6))
+
+
+@query("select tripid from (select tripid, x as ax, y as ay, coalesce(lead(x) over w, x) as bx, coalesce(lead(y) over w, y) as bz from {fx_trace} window w as (partition by tripid order by sequence)) t where "
+       "(case when (bx - ax) ** 2 + (bz - ay) ** 2 = 0 then (ax - 5000) ** 2 + (ay - 5000) ** 2 else (ax + greatest(0, least(1, ((5000 - ax) * (bx - ax) + (5000 - ay) * (bz - ay)) / ((bx - ax) ** 2 + (bz - ay) ** 2))) * (bx - ax) - 5000) ** 2 "
+       "+ (ay + greatest(0, least(1, ((5000 - ax) * (bx - ax) + (5000 - ay) * (bz - ay)) / ((bx - ax) ** 2 + (bz - ay) ** 2))) * (bz - ay) - 5000) ** 2 end) <= 10000 group by 1")
+def trips_near_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips whose line touches a disc."""
+    return K.touching(fixture(spark, sf_dir, "fx_trace"), "tripid", "sequence", 5000.0, 5000.0, 100.0)
+
+
+@query()
+def link_ends_snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links whose nearest nodes aren't the ones they name, counted (several nodes share a place)."""
+    links = fixture(spark, sf_dir, "fx_links").select("linkid", F.col("A").alias("oa"), "ax", "ay", "bx", "by")
+    out = K.end_nodes(links, fixture(spark, sf_dir, "fx_nodes"))
+    return out.agg(F.count(F.lit(1)).alias("links"), F.sum((F.col("A") == F.col("oa")).cast("bigint")).alias("same"), F.max("a_off").alias("farthest"))
+
+
+@query()
+def detour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-means of trips by detour rate and length, sizes of the clusters."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    m = fixture(spark, sf_dir, "fx_models").groupBy("tripid").agg(F.avg("jaccard_exact").alias("rate"), (F.sum("union_len") / 100).alias("length"))
+    rows = VectorAssembler(inputCols=["rate", "length"], outputCol="features").transform(m)
+    model = KMeans(k=3, seed=1, featuresCol="features", predictionCol="cluster").fit(rows)
+    return model.transform(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("length"), 4).alias("mean_length"))
+
+
+@query("select round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 2) as intercept, round(regr_r2(l_extendedprice, l_quantity), 6) as r2 from {lineitem}")
+def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least squares in one pass."""
+    f = lambda n, d: F.round(F.expr(f"regr_{n}(l_extendedprice, l_quantity)"), d)
+    return fixture(spark, sf_dir, "lineitem").agg(f("slope", 4).alias("slope"), f("intercept", 2).alias("intercept"), f("r2", 6).alias("r2"))
