@@ -205,21 +205,33 @@ def _judged(r: SpikeRules):
         ok = (above > r.spike_factor * under) & (above > under + r.spike_more) & (above > floor) & np.isfinite(under)
         return float(above[np.argmax(ok)]) if ok.any() else np.inf
 
+    def judged(frame: pd.DataFrame) -> pd.DataFrame:
+        source = (frame["rule"] == "source").to_numpy()
+        sums, rows = frame[source], frame[~source]
+        # sums of each source: the frame is in the order of sources
+        at = group_starts(sums, ["rec"])
+        rec = sums["rec"].to_numpy()[at]
+        low, high, most = (np.maximum.reduceat(sums[c].to_numpy(float), at) for c in ("low", "high", "v"))
+        n, total = np.add.reduceat(sums["n"].to_numpy(float), at), np.add.reduceat(sums["total"].to_numpy(float), at)
+        v, rule = rows["v"].to_numpy(float), rows["rule"].to_numpy(object)
+        candidate = rule == "candidate"
+        k = np.flatnonzero(candidate)
+        of = np.searchsorted(rec, rows["rec"].to_numpy())
+        bar = np.full(len(rec), np.inf)
+        for part in np.split(k, np.flatnonzero(np.diff(of[k])) + 1):
+            if len(part):
+                bar[of[part[0]]] = spikes(v[part], low[of[part[0]]], high[of[part[0]]])
+        keep = ~candidate | (v >= bar[of])
+        rule[candidate] = "spike"
+        out = pd.DataFrame({"rec": rows["rec"].to_numpy()[keep], "seq": rows["seq"].to_numpy()[keep], "v": v[keep], "score": rows["score"].to_numpy(float)[keep], "rule": rule[keep]})
+        mean = np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0)
+        whole = pd.DataFrame({"rec": rec, "seq": np.nan, "v": np.where(n > 0, most, np.nan), "score": mean, "rule": "source"})
+        return pd.concat([x.astype({"seq": "Int64", "rule": object}) for x in (out, whole) if len(x)], ignore_index=True)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_groups(batches, ["rec"], BATCH):
-            out = []
-            for rec, g in frame.groupby("rec", sort=False):
-                of = g["rule"] == "source"
-                source, rows = g[of], g[~of]
-                candidate = rows["rule"] == "candidate"
-                bar = spikes(rows.loc[candidate, "v"].to_numpy(), source["low"].max(), source["high"].max())
-                rows = rows[~candidate | (rows["v"] >= bar)].copy()
-                rows.loc[rows["rule"] == "candidate", "rule"] = "spike"
-                n = int(source["n"].sum())
-                whole = pd.DataFrame({"rec": [rec], "seq": [None], "v": [source["v"].max() if n else np.nan], "score": [source["total"].sum() / n if n else np.nan], "rule": ["source"]})
-                out += [x[["rec", "seq", "v", "score", "rule"]].astype({"seq": "Int64", "v": float, "score": float}) for x in (rows, whole) if len(x)]
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            if len(frame):
+                yield judged(frame)
 
     return run
 
