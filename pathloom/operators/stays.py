@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,12 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.common import US, floor_div, micros
+from pathloom.common import US, micros
+from pathloom.operators.pieces import group_starts, whole_groups, with_pieces
 
 #: A recording is decoded in pieces of so many counter steps, each with this many steps of its neighbours for context.
 PIECE, CONTEXT = 8192, 256
 #: Recordings decoded side by side, and pings that a batch of them holds, about.
 BATCH_PIECES, BATCH_PINGS = 256, 120_000
+#: Elements whose recordings are put together at once, about.
+LEG_ELEMENTS = 20_000
 
 
 @dataclass(frozen=True)
@@ -72,6 +76,28 @@ def wild_fixes(t: np.ndarray, x: np.ndarray, y: np.ndarray, acc: np.ndarray, r:
     return wild if n else wild
 
 
+def in_order(t: np.ndarray) -> np.ndarray:
+    """The most clock values that are in order: a longest non-decreasing subsequence. One that jumps ahead or back is not believed."""
+    ok = np.ones(len(t), bool)
+    if len(t) < 2 or (np.diff(t) >= 0).all():
+        return ok
+    ends, last, before = [], [], np.full(len(t), -1)
+    for i, v in enumerate(t.tolist()):
+        k = bisect.bisect_right(ends, v)
+        before[i] = last[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(v)
+            last.append(i)
+        else:
+            ends[k], last[k] = v, i
+    ok[:] = False
+    i = last[-1]
+    while i >= 0:
+        ok[i] = True
+        i = before[i]
+    return ok
+
+
 def smooth(t: np.ndarray, x: np.ndarray, y: np.ndarray, var: np.ndarray, on: np.ndarray, r: StayRules) -> tuple[np.ndarray, ...]:
     """Kalman filter and smoother (position and speed, constant speed with random acceleration) of many tracks side by side.
 
@@ -217,50 +243,35 @@ _ELEMENTS = "rec bigint, piece bigint, k int, state int, t0 double, t1 double, x
 
 
 def _elements(r: StayRules):
+    columns = ("t", "x", "y", "v", "acc")
+
+    def whole(frame: pd.DataFrame) -> list[dict]:
+        """The pieces of a frame as arrays; rows of one counter value count once."""
+        frame = frame.drop_duplicates(["rec", "piece", "seq"])
+        arrays = {c: frame[c].to_numpy(float) for c in columns} | {"own": frame["own"].to_numpy(bool)}
+        rec, piece, starts = frame["rec"].to_numpy(), frame["piece"].to_numpy(), group_starts(frame, ["rec", "piece"])
+        out = []
+        for a, b in zip(starts, [*starts[1:], len(frame)]):
+            t = arrays["t"][a:b]
+            ok = in_order(t)
+            out.append({n: v[a:b][ok] for n, v in arrays.items()} | {"rec": int(rec[a]), "piece": int(piece[a])})
+        return out
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None  # the last piece so far may go on in the next batch
-        pieces, size = [], 0
-        columns = ("t", "x", "y", "v", "acc")
-
-        def whole(frame: pd.DataFrame) -> list[dict]:
-            frame = frame.drop_duplicates(["rec", "piece", "seq"])
-            key = frame[["rec", "piece"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            out = []
-            for a, b in zip([0, *cuts], [*cuts, len(frame)]):
-                part = frame.iloc[a:b]
-                g = {c: part[c].to_numpy(float) for c in columns} | {"own": part["own"].to_numpy(bool), "rec": int(key[a][0]), "piece": int(key[a][1])}
-                late = np.maximum.accumulate(g["t"])
-                ok = g["t"] >= late  # a clock that goes back is not believed
-                out.append({n: v[ok] if isinstance(v, np.ndarray) else v for n, v in g.items()})
-            return out
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            rec, piece = frame["rec"].to_numpy(), frame["piece"].to_numpy()
-            same = (rec == rec[-1]) & (piece == piece[-1])
-            start = int(np.argmax(same))
-            held = frame.iloc[start:]
-            if start:
-                new = whole(frame.iloc[:start])
-                pieces += new
-                size += start
-            if len(pieces) >= BATCH_PIECES or size >= BATCH_PINGS:
+        pieces: list[dict] = []
+        for frame in whole_groups(batches, ["rec", "piece"], BATCH_PINGS // 8):
+            pieces += whole(frame)
+            if len(pieces) >= BATCH_PIECES or sum(len(g["t"]) for g in pieces) >= BATCH_PINGS:
                 yield from _decoded(pieces, r)
-                pieces, size = [], 0
-        if held is not None and len(held):
-            pieces += whole(held)
+                pieces = []
         if pieces:
             yield from _decoded(pieces, r)
 
     return run
 
 
-def legs_of(e: pd.DataFrame, r: StayRules) -> list[tuple]:
-    """Stops and trips of one recording from its elements in order: (kind, start, end, metres, x, y)."""
-    rows = list(e.itertuples(index=False))
+def legs_of(rows: list, r: StayRules) -> list[tuple]:
+    """Stops and trips of one recording from its elements (named tuples) in order: (kind, start, end, metres, x, y)."""
     # stays: stationary elements of one place, whatever lies between them at that place or is over soon
     stays: list[dict] = []
     for i, s in enumerate(rows):
@@ -304,28 +315,19 @@ def legs_of(e: pd.DataFrame, r: StayRules) -> list[tuple]:
 
 
 def _legs(r: StayRules):
+    def give(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        every, starts = list(frame.itertuples(index=False)), group_starts(frame, ["rec"])
+        for a, b in zip(starts, [*starts[1:], len(every)]):
+            count = {"stop": 0, "trip": 0}
+            for kind, t0, t1, way, x, y in legs_of(every[a:b], r):
+                count[kind] += 1
+                out.append((every[a].rec, kind, count[kind], t0, t1, way, x, y))
+        return pd.DataFrame(out, columns=["rec", "kind", "leg_no", "t0", "t1", "metres", "x", "y"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def give(frame: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for rec, e in frame.groupby("rec", sort=False):
-                count = {"stop": 0, "trip": 0}
-                for kind, t0, t1, way, x, y in legs_of(e, r):
-                    count[kind] += 1
-                    out.append((rec, kind, count[kind], t0, t1, way, x, y))
-            return pd.DataFrame(out, columns=["rec", "kind", "leg_no", "t0", "t1", "metres", "x", "y"])
-
-        for batch in batches:
-            frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(frame):
-                continue
-            start = int(np.argmax(frame["rec"].to_numpy() == frame["rec"].iloc[-1]))
-            held = frame.iloc[start:]
-            if start:
-                yield give(frame.iloc[:start])
-        if held is not None and len(held):
-            yield give(held)
+        for frame in whole_groups(batches, ["rec"], LEG_ELEMENTS):
+            yield give(frame)
 
     return run
 
@@ -340,8 +342,8 @@ def stops_and_trips(
     the smoothed way of a trip; x, y the place of a stop or the start of a trip.
 
     Defined cases: pings with a null recording, counter, time, or position, or refused by `accept` (faulty clocks), are not used; repeated
-    rows, and rows of one counter value, count once; a null, NaN, negative or huge speed and a null accuracy are unknown; a ping whose clock
-    goes back behind an earlier one is not used; a recording with one usable ping has no legs; an empty table gives an empty
+    rows, and rows of one counter value, count once; a null, NaN, negative or huge speed and a null accuracy are unknown; pings whose clock
+    contradicts most others' order are not used; a recording with one usable ping has no legs; an empty table gives an empty
     result; other columns are ignored.
 
     Method: wild single fixes are left out; a Kalman smoother gives position and speed; a two-state hidden Markov model on the intervals between
@@ -355,19 +357,12 @@ def stops_and_trips(
     ok = ok & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
     if accept is not None:
         ok = ok & accept
-    seq = F.col("seq")
     rows = pings.where(ok).select(
         F.col(recording).cast("bigint").alias("rec"), F.col(counter).cast("bigint").alias("seq"), (micros(at) / F.lit(float(US))).alias("t"),
         (F.col(x) * to_metres).alias("x"), (F.col(y) * to_metres).alias("y"), (F.col(speed) * to_mps).cast("double").alias("v"),
         (F.col(accuracy) * to_metres).cast("double").alias("acc"),
     )
-    home = floor_div(seq, PIECE)
-    rows = rows.withColumn("home", home).withColumn(
-        "piece", F.explode(F.sequence(floor_div(seq - CONTEXT, PIECE), floor_div(seq + CONTEXT, PIECE)))
-    )
-    rows = rows.withColumn("own", F.col("piece") == F.col("home")).drop("home")
-    # no recording of one piece is repeated for neighbours it hasn't
-    rows = rows.where((F.col("own")) | (F.col("piece") >= 0))
+    rows = with_pieces(rows, "seq", PIECE, CONTEXT)
     elements = (
         rows.repartition("rec", "piece").sortWithinPartitions("rec", "piece", "seq", "t", "x", "y").mapInPandas(_elements(rules), _ELEMENTS)
     )

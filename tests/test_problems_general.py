@@ -11,7 +11,7 @@ from pathloom.operators.nearby import haversine_m, latest_position, points_withi
 from pathloom.operators.pieces import whole_groups
 from pathloom.operators.references import Parent, Reference, orphan_references, orphans_per_period
 from pathloom.operators.spikes import SpikeRules, forest_scores, implausible_readings, score_readings, wrong_summaries
-from pathloom.operators.stays import StayRules, smooth, stops_and_trips, wild_fixes
+from pathloom.operators.stays import StayRules, in_order, smooth, stops_and_trips, wild_fixes
 
 T = "cast(timestamp_seconds({}) as timestamp)"
 PINGS = "rec bigint, seq bigint, t double, x double, y double, v double, acc double, extra string"
@@ -169,6 +169,10 @@ class TestStays:
         sx, _, speed, used = smooth(t, x, np.zeros_like(t), np.full_like(t, 36.0), np.ones_like(t, bool), StayRules())
         assert used.all() and np.abs(sx - 5 * t).mean() < 3 and abs(speed[20:-20].mean() - 5) < 0.2
 
+    def test_clocks_out_of_order(self):
+        t = np.array([1.0, 2, 99, 3, 4, 0, 5, 5])
+        assert t[in_order(t)].tolist() == [1, 2, 3, 4, 5, 5] and in_order(t[:0]).tolist() == []
+
     def test_wild_fixes(self):
         x = np.array([0.0, 10, 900, 30, 40, 2000])
         t = np.arange(6.0) * 5
