@@ -131,17 +131,25 @@ def simplify_pandas(tolerance: float):
     return run
 
 
-def _to_segments(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Distance of points from a line."""
-    best = np.full(len(grid), np.inf)
-    if len(p) == 1:
-        return np.hypot(*(grid - p[0]).T)
-    for a, b in zip(p[:-1], p[1:]):
-        v = b - a
-        n = float(v @ v)
-        t = np.clip((grid - a) @ v / n, 0, 1) if n else np.zeros(len(grid))
-        best = np.minimum(best, np.hypot(*(grid - a - t[:, None] * v).T))
-    return best
+#: Cells of a grid that are held at once.
+BAND_CELLS = 4_000_000
+
+
+def _near_line(p: np.ndarray, xs: np.ndarray, ys: np.ndarray, buffer: float) -> np.ndarray:
+    """Which centres of a grid lie within a buffer of a line; only the cells around each segment are looked at."""
+    mask = np.zeros((len(ys), len(xs)), bool)
+    for a, b in zip(p[:-1], p[1:]) if len(p) > 1 else [(p[0], p[0])]:
+        lo, hi = np.minimum(a, b) - buffer, np.maximum(a, b) + buffer
+        i, j = np.searchsorted(xs, [lo[0], hi[0]])
+        k, m = np.searchsorted(ys, [lo[1], hi[1]])
+        if i == j or k == m:
+            continue
+        gx, gy = xs[None, i:j] - a[0], ys[k:m, None] - a[1]
+        vx, vy = b - a
+        n = vx * vx + vy * vy
+        t = np.clip((gx * vx + gy * vy) / n, 0, 1) if n else 0.0
+        mask[k:m, i:j] |= (gx - t * vx) ** 2 + (gy - t * vy) ** 2 <= buffer * buffer
+    return mask
 
 
 def buffer_overlap(p: np.ndarray, q: np.ndarray, buffer: float, cell: float) -> tuple[float, float]:
@@ -150,10 +158,9 @@ def buffer_overlap(p: np.ndarray, q: np.ndarray, buffer: float, cell: float) ->
     lo, hi = both.min(axis=0) - buffer, both.max(axis=0) + buffer
     xs, ys = np.arange(lo[0] + cell / 2, hi[0], cell), np.arange(lo[1] + cell / 2, hi[1], cell)
     inter = union = 0
-    for at in range(0, len(ys), max(1, 200_000 // max(1, len(xs)))):
-        gx, gy = np.meshgrid(xs, ys[at : at + max(1, 200_000 // max(1, len(xs)))])
-        grid = np.c_[gx.ravel(), gy.ravel()]
-        a, b = _to_segments(grid, p) <= buffer, _to_segments(grid, q) <= buffer
+    band = max(1, BAND_CELLS // max(1, len(xs)))
+    for at in range(0, len(ys), band):
+        a, b = (_near_line(x, xs, ys[at : at + band], buffer) for x in (p, q))
         inter += int((a & b).sum())
         union += int((a | b).sum())
     return inter * cell * cell, union * cell * cell

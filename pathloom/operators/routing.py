@@ -153,9 +153,14 @@ def routes(starts: DataFrame, turns: DataFrame, edges: DataFrame, ods: DataFrame
     starts, turns = _with_candidate(starts), _with_candidate(turns)
     graph = _small_graph(starts, turns, small)
     pairs = ods.select("origin", "dest").distinct()
+    if graph is None and varied:
+        # too many turns for one graph of all variants: one after the other, as many as the caller made
+        parts = None
+        for (i,) in starts.select("candidate").distinct().orderBy("candidate").collect():
+            one = routes(starts.where(F.col("candidate") == i).drop("candidate"), turns.where(F.col("candidate") == i).drop("candidate"), edges, ods, small).withColumn("candidate", F.lit(i))
+            parts = one if parts is None else parts.unionByName(one)
+        return parts.select("candidate", "origin", "dest", "d", "edges")
     if graph is None:
-        if varied:
-            raise ValueError("variants of a large graph are routed one by one")
         reached = cut(relax(starts, turns))
         last = to_nodes(reached, edges, pairs)
         steps = route_edges(reached, last)

@@ -60,10 +60,11 @@ def sided_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.sided(links, [("ascent", "descent")])
 
 
-@query("select o_orderkey, 'new' as rating from {orders} where o_orderkey % 3 = 0 union all select o_orderkey, 'old' from {orders} where o_orderkey % 2 = 0 and o_orderkey % 3 <> 0")
+@query("select o_orderkey, case when o_orderpriority = '1-URGENT' then 'new' else 'old' end as rating from {orders} where o_orderpriority = '1-URGENT' or o_orderstatus = 'O'")
 def rating_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = fixture(spark, sf_dir, "orders").select("o_orderkey")
-    return R.upsert(o.where("o_orderkey % 2 = 0").withColumn("rating", F.lit("old")), o.where("o_orderkey % 3 = 0").withColumn("rating", F.lit("new")), ["o_orderkey"])
+    o = fixture(spark, sf_dir, "orders")
+    of = lambda condition, rating: o.where(condition).select("o_orderkey", F.lit(rating).alias("rating"))
+    return R.upsert(of("o_orderstatus = 'O'", "old"), of("o_orderpriority = '1-URGENT'", "new"), ["o_orderkey"])
 
 
 @query("select distinct o_custkey from {orders} where o_orderstatus = 'O' and o_custkey not in (select o_custkey from {orders} where o_orderstatus = 'P')")
@@ -123,7 +124,8 @@ def tag_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_to_one_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stops and trace points paired one to one within a distance."""
     stops = fixture(spark, sf_dir, "fx_stops").select(F.col("stop_id").alias("id"), "x", "y")
-    nodes = fixture(spark, sf_dir, "fx_nodes").where("N % 10 <> 0").select(F.col("N").alias("jid"), F.col("x").alias("jx"), F.col("y").alias("jy"))
+    other = fixture(spark, sf_dir, "fx_nodes").join(stops.select(F.col("id").alias("N")), "N", "left_anti")
+    nodes = other.select(F.col("N").alias("jid"), F.col("x").alias("jx"), F.col("y").alias("jy"))
     return K.one_to_one(stops, nodes, 400.0).withColumn("distance", F.round("distance", 6))
 
 

@@ -14,7 +14,7 @@ FIXTURES: dict[str, str] = {
     "fx_size": "select count(*) as n from {customer}",
     "fx_link_rows": """select cast(o_orderkey as bigint) as linkid, cast(o_custkey as bigint) as A, (cast(o_custkey as bigint) * 31 + cast(o_orderkey as bigint) * 17 + 1) % n as B,
         o_orderkey % 5 = 0 as oneway, cast(year(o_orderdate) as int) as year, o_orderpriority as priority, o_orderstatus as status, o_totalprice as price
-        from {orders} cross join {fx_size} where o_orderkey % 4 = 0""",
+        from {orders} cross join {fx_size}""",
     "fx_links": """select l.linkid, l.A, l.B, l.oneway, l.year, l.status, l.price,
         case l.priority when '1-URGENT' then 'road' when '2-HIGH' then 'bike' when '3-MEDIUM' then 'pedestrian' when '4-NOT SPECIFIED' then 'service' else 'sidewalk' end as link_type,
         a.x as ax, a.y as ay, b.x as bx, b.y as by, round(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)), 4) as length_ft
@@ -49,11 +49,12 @@ FIXTURES: dict[str, str] = {
         sum(l_quantity) as intersection_len, sum(l_quantity + l_linenumber) as union_len from {lineitem} group by 1, 2, 3, 4""",
     "fx_od": """select cast(c_nationkey as bigint) as orig_taz, cast(s_nationkey as bigint) as dest_taz, count(*) as trips from {lineitem} join {orders} on l_orderkey = o_orderkey
         join {customer} on o_custkey = c_custkey join {supplier} on l_suppkey = s_suppkey group by 1, 2""",
-    "fx_stops": "select N as stop_id, N % 7 as route_id, x, y from {fx_nodes} where N % 10 = 0",
+    "fx_stops": "select N as stop_id, N % 7 as route_id, x, y from {fx_nodes} where N in (select (cast(s_suppkey as bigint) * 10) % n from {supplier} cross join {fx_size})",
     "fx_stop_times": """select cast(o_orderkey as bigint) as trip_id, cast(o_custkey % 7 as bigint) as route_id,
         cast(row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as int) as stop_sequence, (cast(l_suppkey as bigint) * 10) % n as stop_id,
         cast((o_orderkey % 120) * 60 + 300 * row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as bigint) as departure_sec
-        from {lineitem} join {orders} on l_orderkey = o_orderkey cross join {fx_size} where o_orderkey % 10 = 0""",
+        from {lineitem} join {orders} on l_orderkey = o_orderkey cross join {fx_size}""",
+    "fx_sources": "select min(N) as stop_id from {fx_nodes} join {customer} on c_custkey = N where N in (select stop_id from {fx_stops}) group by c_nationkey",
     "fx_names": "select cast(p_partkey as bigint) as id, p_name as name from {part}",
 }
 _NAME = re.compile(r"\{(\w+)\}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.common import cut
+from pathloom.common import cut, table
 from pathloom.functions import geometry as G
 from pathloom.operators import calibration as C
 from pathloom.operators import impedance as I
@@ -16,7 +16,6 @@ from pathloom.operators import routing as P
 from pathloom.operators import transit as Z
 from pathloom.operators.spatial import distance_join
 from pathloom.plans.fixtures import fixture
-from pathloom.plans.networks import TERMS, costs_of, turns_of
 from pathloom.plans.registry import Registry
 
 query = Registry()
@@ -74,13 +73,11 @@ def simplified_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def jaccard_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of the buffers of each link and the next one from its start."""
-    c = F.col
-    links = fixture(spark, sf_dir, "fx_links").withColumn("line", G.line((c("ax"), c("ay")), (c("bx"), c("by"))))
-    a = links.select("linkid", "A", "line")
-    b = links.select(F.col("linkid").alias("other_id"), "A", F.col("line").alias("other"))
-    pairs = a.join(b, "A").where("linkid < other_id").withColumn("j", G.jaccard_buffer_pandas(50.0, 25.0)("line", "other"))
-    return pairs.select("linkid", "other_id", F.round("j.jaccard", 6).alias("jaccard"))
+    """Overlap of the buffers of each trace and the next one."""
+    a = lines_of(spark, sf_dir)
+    b = a.select((F.col("tripid") - 1).alias("tripid"), F.col("line").alias("other"))
+    pairs = a.join(b, "tripid").withColumn("j", G.jaccard_buffer_pandas(100.0, 50.0)("line", "other"))
+    return pairs.select("tripid", F.round("j.jaccard", 6).alias("jaccard"))
 
 
 @query()
@@ -113,25 +110,46 @@ def match_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- calibration ---------------------------------------------------------------------------------------------
 
 
+def street_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The streets of today, the turns between them, and the pairs of zones' nodes with trips, of the domain tables."""
+    now = table(spark, sf_dir, "links").where("removed_at is null and A is not null and B is not null and travel_time_min is not null")
+    edges = now.groupBy("linkid", "reverse_link").agg(
+        F.min("A").alias("A"), F.min("B").alias("B"), F.min("travel_time_min").alias("base_min"), F.min("length_ft").alias("len"),
+        F.max((F.col("link_type") == "road").cast("int")).alias("is_road"), F.max((F.col("facility_fwd").isNotNull()).cast("int")).alias("has_facility"),
+    )
+    t = table(spark, sf_dir, "turns_df").where("source_linkid is not null and target_linkid is not null")
+    turns = t.groupBy("source_linkid", "source_reverse_link", "target_linkid", "target_reverse_link").agg(F.max("left_turn").alias("left_turn"), F.max(F.coalesce("signalized", F.lit(False)).cast("int")).alias("signalized"))
+    ods = table(spark, sf_dir, "od_matrix").where("orig_N is not null and dest_N is not null").groupBy(F.col("orig_N").alias("origin"), F.col("dest_N").alias("dest")).agg(F.sum("trips").alias("trips"))
+    return edges, turns, ods
+
+
+STREETS = [I.Term("is_road", "link", 0.5), I.Term("has_facility", "link", -0.3), I.Term("left_turn", "turn", 0.15), I.Term("signalized", "turn", 0.1)]
+
+
+def street_routes(spark: SparkSession, sf_dir: str, population: list[list[I.Term]]) -> DataFrame:
+    """Routes of all zone pairs for every set of coefficients: candidate, origin, dest, d, edges."""
+    edges, turns, ods = street_network(spark, sf_dir)
+    starts = priced = None
+    for i, terms in enumerate(population):
+        cost = I.link_cost(terms, F.col("base_min"))
+        s = P.starts_of(edges.withColumn("c", cost), ods, "c").withColumn("candidate", F.lit(i))
+        p = I.priced_turns(turns, edges, cost, I.turn_cost(terms)).withColumn("candidate", F.lit(i))
+        starts, priced = (s, p) if starts is None else (starts.unionByName(s), priced.unionByName(p))
+    return P.routes(starts, priced, edges, ods)
+
+
+@query()
+def od_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least-impedance routes of the OD matrix on the street network: cost and number of links."""
+    return street_routes(spark, sf_dir, [STREETS]).select("origin", "dest", F.round("d", 6).alias("cost"), F.size("edges").alias("links"))
+
+
 @query()
 def pso_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coefficients found again from routes made with known ones: the trace of the best loss."""
-    e, t = costs_of(spark, sf_dir), turns_of(spark, sf_dir).withColumn("is_left", (F.col("turn_type") == "left").cast("int")).withColumn("is_uturn", (F.col("turn_type") == "uturn").cast("int"))
-    ods = fixture(spark, sf_dir, "fx_od_nodes").select("origin", "dest").distinct()
-    lengths = fixture(spark, sf_dir, "fx_links").select("linkid", F.col("length_ft").alias("len"))
-
-    def routed(population: list[list[I.Term]]) -> DataFrame:
-        """The directed links of the routes of every candidate, all in one job."""
-        starts = turns = None
-        for i, terms in enumerate(population):
-            cost = I.link_cost(terms, F.col("base_min"))
-            s = P.starts_of(e.withColumn("c", cost), ods, "c").withColumn("candidate", F.lit(i))
-            p = I.priced_turns(t, e, cost, I.turn_cost(terms)).withColumn("candidate", F.lit(i))
-            starts, turns = (s, p) if starts is None else (starts.unionByName(s), turns.unionByName(p))
-        edges = P.edges_of_routes(P.routes(starts, turns, e, ods))
-        return edges.join(lengths, "linkid")
-
-    truth = cut(routed([TERMS]).drop("candidate"))
+    """A coefficient found again from routes made with known ones: the trace of the best loss. Each round's swarm is priced and routed in one job."""
+    lengths = street_network(spark, sf_dir)[0].select("linkid", "reverse_link", "len")
+    routed = lambda population: P.edges_of_routes(street_routes(spark, sf_dir, population)).join(lengths, ["linkid", "reverse_link"])
+    truth = cut(routed([STREETS]).drop("candidate"))
 
     def evaluate(population: list[list[I.Term]]) -> list[float]:
         every = truth.withColumn("candidate", F.explode(F.array(*[F.lit(i) for i in range(len(population))])))
@@ -140,8 +158,7 @@ def pso_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = {r["candidate"]: r["loss"] for r in C.LOSSES["jaccard_total"](pairs).collect()}
         return [found.get(i) for i in range(len(population))]
 
-    terms = [I.Term("is_road", "link", range=(0.0, 2.0)), *TERMS[1:]]
-    terms = [terms[0], *[I.Term(x.col, x.type, x.beta, (x.beta, x.beta)) for x in TERMS[1:]]]
+    terms = [I.Term("is_road", "link", range=(0.0, 2.0)), *[I.Term(x.col, x.type, x.beta, (x.beta, x.beta)) for x in STREETS[1:]]]
     betas, loss, trace = C.fit(terms, evaluate, C.Swarm(size=4, rounds=3, seed=1))
     return spark.createDataFrame([(k, float(v), round(betas[0], 6)) for k, v in trace], "round int, loss double, beta double")
 
@@ -152,7 +169,7 @@ def pso_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrivals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = fixture(spark, sf_dir, "fx_stops")
     walks = Z.transfers(stops, 400.0, 4.4)
-    sources = stops.select(F.col("stop_id").alias("source"), "stop_id", F.lit(1800).alias("at"))
+    sources = fixture(spark, sf_dir, "fx_sources").select(F.col("stop_id").alias("source"), "stop_id", F.lit(1800).alias("at"))
     return Z.earliest_arrivals(sources, fixture(spark, sf_dir, "fx_stop_times"), walks, 2)
 
 
@@ -161,7 +178,7 @@ g(s, c) using key (s) as (select stop_id, stop_id from {fx_stops} union select p
 w as (select x.s as f, y.s as t, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) / 4.4 as sec from g x join g y on x.c = y.c and x.s <> y.s join {fx_stops} a on a.stop_id = x.s join {fx_stops} b on b.stop_id = y.s
   union all select stop_id, stop_id, 0 from {fx_stops}),
 s as (select trip_id, stop_sequence as q, stop_id, cast(departure_sec as double) as c from {fx_stop_times}),
-r0 as (select stop_id as source, t as stop_id, 1800 + sec as arr from {fx_stops} join w on f = stop_id),
+r0 as (select stop_id as source, t as stop_id, 1800 + sec as arr from {fx_sources} join w on f = stop_id),
 b1 as (select source, trip_id, min(q) as q from r0 join s on s.stop_id = r0.stop_id and arr <= c group by 1, 2),
 r1 as (select source, w.t as stop_id, min(c + sec) as arr from b1 join s on s.trip_id = b1.trip_id and s.q > b1.q join w on w.f = s.stop_id group by 1, 2),
 m1 as (select source, stop_id, min(arr) as arr from (select * from r0 union all select * from r1) group by 1, 2),
@@ -173,7 +190,7 @@ m2 as (select source, stop_id, min(arr) as arr from (select * from m1 union all
 
 @query(_ARRIVALS + "select source, stop_id, round(arr, 4) as arrival from m2")
 def raptor_earliest_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest arrival from every stop at every other with at most two rides."""
+    """Earliest arrival from a stop of each nation at every other with at most two rides."""
     return Z.itineraries(arrivals_of(spark, sf_dir)).select("source", "stop_id", F.round("arrival", 4).alias("arrival"))
 
 

@@ -93,11 +93,12 @@ def unsignalised_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select t.source_linkid, t.source_reverse_link, t.target_linkid, t.target_reverse_link from {fx_turns} t join {fx_links} s on s.linkid = source_linkid join {fx_links} g on g.linkid = target_linkid
-    where not ((s.oneway and source_reverse_link) or (g.oneway and target_reverse_link)) or (source_linkid % 2 = 0 and target_linkid % 3 = 0 and (s.oneway or g.oneway))"""
+    where not ((s.oneway and source_reverse_link) or (g.oneway and target_reverse_link)) or (s.status = 'P' and g.status = 'P')"""
 )
 def wrong_way_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, links = turns_of(spark, sf_dir), fixture(spark, sf_dir, "fx_links")
-    ok = t.where("source_linkid % 2 = 0 and target_linkid % 3 = 0").select("source_linkid", "target_linkid").distinct()
+    p = links.where("status = 'P'").select("linkid")
+    ok = t.join(p.select(F.col("linkid").alias("source_linkid")), "source_linkid", "left_semi").join(p.select(F.col("linkid").alias("target_linkid")), "target_linkid", "left_semi").select("source_linkid", "target_linkid").distinct()
     return N.without_wrong_way(t, links, ok).select(*KEYS)
 
 
@@ -219,12 +220,12 @@ def year_networks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """select linkid, case when kind is null then lane else cast(kind = 'lane' as int) end as lane, case when kind is null then cycletrack else cast(kind = 'cycletrack' as int) end as cycletrack from
-    (select linkid, cast(link_type = 'bike' as int) as lane, cast(link_type = 'service' as int) as cycletrack, case when linkid % 10 = 0 then 'cycletrack' when linkid % 10 = 4 then 'lane' end as kind from {fx_links})"""
+    (select linkid, cast(link_type = 'bike' as int) as lane, cast(link_type = 'service' as int) as cycletrack, case status when 'P' then 'cycletrack' when 'F' then 'lane' end as kind from {fx_links})"""
 )
 def scenario_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = fixture(spark, sf_dir, "fx_links").select("linkid", (F.col("link_type") == "bike").cast("int").alias("lane"), (F.col("link_type") == "service").cast("int").alias("cycletrack"))
-    projects = links.where("linkid % 10 in (0, 4)").select("linkid", F.when(F.col("linkid") % 10 == 0, "cycletrack").otherwise("lane").alias("kind"))
-    return I.improved(links, projects, "linkid", ["lane", "cycletrack"], "kind")
+    links = fixture(spark, sf_dir, "fx_links").select("linkid", "status", (F.col("link_type") == "bike").cast("int").alias("lane"), (F.col("link_type") == "service").cast("int").alias("cycletrack"))
+    projects = links.where("status in ('P', 'F')").select("linkid", F.when(F.col("status") == "P", "cycletrack").otherwise("lane").alias("kind"))
+    return I.improved(links.drop("status"), projects, "linkid", ["lane", "cycletrack"], "kind")
 
 
 def reached_from_zones(spark: SparkSession, sf_dir: str, road: float = 0.5, cutoff: float | None = None) -> DataFrame:

@@ -86,12 +86,12 @@ def privacy_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with y as (select distinct cast(year(o_orderdate) as int) as year from {orders} where o_orderkey % 2 = 0)
+    """with y as (select distinct cast(year(o_orderdate) as int) as year from {orders} where o_orderpriority = '1-URGENT')
     select e.event_id, (select max(year) from y where year <= year(e.ts) - e.event_id % 9) as found from {events} e"""
 )
 def asof_network_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest network year not after a trip's year."""
-    years = fixture(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.year("o_orderdate").alias("year"))
+    years = fixture(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.year("o_orderdate").alias("year"))
     e = fixture(spark, sf_dir, "events").select("event_id", "ts")
     return T.as_of_small(e, F.year("ts") - F.col("event_id") % 9, years, "year").select("event_id", F.col("found").cast("int").alias("found"))
 
