@@ -11,7 +11,6 @@ from pathloom.operators import calibration as C
 from pathloom.operators import impedance as I
 from pathloom.operators import map_matching as H
 from pathloom.operators import metrics as M
-from pathloom.operators import network as N
 from pathloom.operators import routing as P
 from pathloom.operators import transit as Z
 from pathloom.operators.spatial import distance_join
@@ -91,9 +90,12 @@ def name_fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = fixture(spark, sf_dir, "fx_links")
-    whole = links.where("length_ft > 0")
-    return H.match_traces(fixture(spark, sf_dir, "fx_trace"), N.directed(whole, honour_oneway=True), H.MatchRules(radius=150.0))
+    """Every ping of every recording on today's streets (straight from end to end, in feet)."""
+    g = table(spark, sf_dir, "links").where("removed_at is null and A is not null and B is not null and size(geometry) > 1")
+    first, last = F.get("geometry", F.lit(0)), F.get("geometry", F.size("geometry") - 1)
+    edges = g.groupBy("linkid", "reverse_link").agg(F.min(F.struct("A", "B", first["x"].alias("ax"), first["y"].alias("ay"), last["x"].alias("bx"), last["y"].alias("by"))).alias("e")).select("linkid", "reverse_link", "e.*")
+    pings = table(spark, sf_dir, "coords").where("x is not null and y is not null").groupBy("tripid", "sequence").agg(F.min(F.struct("x", "y")).alias("p")).select("tripid", "sequence", "p.x", "p.y")
+    return H.match_traces(pings, edges, H.MatchRules(radius=150.0, noise=40.0, way=80.0))
 
 
 @query()
@@ -104,7 +106,7 @@ def hmm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.triage(H.match_summary(matched(spark, sf_dir)), fixture(spark, sf_dir, "fx_trace"))
+    return H.triage(H.match_summary(matched(spark, sf_dir)), table(spark, sf_dir, "coords"))
 
 
 # --- calibration ---------------------------------------------------------------------------------------------
