@@ -217,3 +217,18 @@ def flags(conditions: dict[str, Column]) -> list[Column]:
 def base_case(columns: Sequence[str]) -> Column:
     """Whether all of the 0/1 columns are zero."""
     return F.forall(F.array(*[F.col(c) for c in columns]), lambda x: x == 0)
+
+
+def along_way(nodes: Column, way: Column, measures: Column) -> Column:
+    """Start and end of a link along the way it is a part of, as a struct of distances; null if its nodes don't run along the way.
+
+    `measures` are the distances of the way's nodes from its start. On a ring the end may lie behind the way's end by up to a round; a link that runs
+    against the way has the distances of its turned self.
+    """
+    n = F.size(nodes)
+    whole = F.element_at(measures, -1)
+    closed = F.element_at(way, 1) == F.element_at(way, -1)
+    ring = F.when(closed, F.concat(way, F.slice(way, 2, F.greatest(F.size(way) - 1, F.lit(0))))).otherwise(way)
+    far = F.when(closed, F.concat(measures, F.transform(F.slice(measures, 2, F.greatest(F.size(measures) - 1, F.lit(0))), lambda m: m + whole))).otherwise(measures)
+    at = F.coalesce(sublist_start(ring, nodes), sublist_start(ring, F.reverse(nodes)))
+    return F.when(at.isNotNull(), F.struct(F.get(far, at).alias("start"), F.get(far, at + n - 1).alias("end")))

@@ -66,6 +66,13 @@ class TestScalars:
         assert d(2, 3) == "forward" and d(3, 2) == "reverse" and d(4, 1, 2) == "forward" and d(2, 1, 4) == "reverse" and d(1, 3) is None
         assert one(spark, S.departures(F.lit(0).cast("bigint"), F.lit(3600).cast("bigint"), 900)) == [0, 900, 1800, 2700]
 
+    def test_along_way(self, spark):
+        a = lambda *v: F.array(*[F.lit(x) for x in v])
+        line, ring, m = a(1, 2, 3, 4), a(1, 2, 3, 1), a(0.0, 5.0, 7.0, 10.0)
+        w = lambda nodes, way: one(spark, S.along_way(a(*nodes), way, m))
+        assert tuple(w((2, 3), line)) == (5.0, 7.0) and tuple(w((4, 3, 2), line)) == (5.0, 10.0) and w((1, 3), line) is None
+        assert tuple(w((3, 1, 2), ring)) == (7.0, 15.0)
+
     def test_rules(self, spark):
         c = F.col("x")
         kind = S.first_rule([(c > 5, "a"), (c > 3, "b")], "z", [(c == 9, "last")])
