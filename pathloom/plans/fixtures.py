@@ -37,6 +37,9 @@ FIXTURES: dict[str, str] = {
     "fx_priced": """select t.source_linkid, t.source_reverse_link, t.target_linkid, t.target_reverse_link, l.cost as target_cost,
         case turn_type when 'left' then 0.1 when 'uturn' then 0.3 else 0 end as turn_cost, l.cost + case turn_type when 'left' then 0.1 when 'uturn' then 0.3 else 0 end as total_cost
         from {fx_turns} t join {fx_costs} l on t.target_linkid = l.linkid and t.target_reverse_link = l.reverse_link""",
+    "fx_costs_then": """select linkid, reverse_link, A, B, link_type, length_ft, base_min, round(base_min * (1 + case link_type when 'road' then 0.1 when 'bike' then -0.2 else 0 end), 8) as cost from {fx_costs}""",
+    "fx_priced_then": """select p.source_linkid, p.source_reverse_link, p.target_linkid, p.target_reverse_link, l.cost as target_cost, p.turn_cost, l.cost + p.turn_cost as total_cost
+        from {fx_priced} p join {fx_costs_then} l on p.target_linkid = l.linkid and p.target_reverse_link = l.reverse_link""",
     "fx_zones": """select cast(c_nationkey as bigint) as taz, min(N) as N from (select A as N from {fx_links} union select B from {fx_links}) n join {customer} on c_custkey = N group by 1""",
     "fx_od_nodes": "select o.orig_taz, o.dest_taz, o.trips, a.N as origin, b.N as dest from {fx_od} o join {fx_zones} a on a.taz = o.orig_taz join {fx_zones} b on b.taz = o.dest_taz",
     "fx_trace": """select cast(user_id as bigint) as tripid, cast(row_number() over (partition by user_id order by ts, event_id) - 1 as int) as sequence, ts, event_id, event_type,

@@ -234,18 +234,24 @@ def reached_from_zones(spark: SparkSession, sf_dir: str, road: float = 0.5, cuto
     return P.search(starts, priced(spark, sf_dir, road), cutoff)
 
 
-_REACH = """with recursive o as (select distinct origin from {{fx_od_nodes}}),
-r(origin, linkid, reverse_link, d) using key (origin, linkid, reverse_link) as (
-  select origin, linkid, reverse_link, cost from o join {{fx_costs}} c on c.A = o.origin {cut0}
+_STATES = """{name}(origin, linkid, reverse_link, d) using key (origin, linkid, reverse_link) as (
+  select origin, linkid, reverse_link, cost from o join {{fx_costs{when}}} c on c.A = o.origin {cut0}
   union
   select n.origin, n.linkid, n.reverse_link, n.d from (select r.origin, t.target_linkid as linkid, t.target_reverse_link as reverse_link, min(r.d + t.total_cost) as d
-    from r join {{fx_priced}} t on t.source_linkid = r.linkid and t.source_reverse_link = r.reverse_link group by 1, 2, 3) n
-  left join recurring.r q on q.origin = n.origin and q.linkid = n.linkid and q.reverse_link = n.reverse_link where (q.d is null or n.d < q.d) {cut1})
+    from {name} r join {{fx_priced{when}}} t on t.source_linkid = r.linkid and t.source_reverse_link = r.reverse_link group by 1, 2, 3) n
+  left join recurring.{name} q on q.origin = n.origin and q.linkid = n.linkid and q.reverse_link = n.reverse_link where (q.d is null or n.d < q.d) {cut1})
 """
 
 
+def reach_sql(cutoff: float | None = None, then: bool = False) -> str:
+    """Least costs of directed links from each zone by recursion; with `then` a second time (rt) when roads are improved."""
+    cuts = {"cut0": f"where cost <= {cutoff}", "cut1": f"and n.d <= {cutoff}"} if cutoff else {"cut0": "", "cut1": ""}
+    parts = [_STATES.format(name="r", when="", **cuts), *([_STATES.format(name="rt", when="_then", **cuts)] if then else [])]
+    return "with recursive o as (select distinct origin from {fx_od_nodes}),\n" + ",\n".join(parts)
+
+
 @query(
-    _REACH.format(cut0="", cut1="")
+    reach_sql()
     + """select p.origin, p.dest, round(case when p.origin = p.dest then 0 else min(r.d) end + 1e-9, 5) as cost from (select distinct origin, dest from {fx_od_nodes}) p join {fx_costs} c on c.B = p.dest
     join r on r.origin = p.origin and r.linkid = c.linkid and r.reverse_link = c.reverse_link group by 1, 2"""
 )
@@ -256,7 +262,7 @@ def shortest_path_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.select("origin", "dest", rounded("d", 5).alias("cost"))
 
 
-@query(_REACH.format(cut0="where cost <= 25", cut1="and n.d <= 25") + "select origin, linkid, reverse_link, round(d + 1e-9, 5) as d from r")
+@query(reach_sql(25) + "select origin, linkid, reverse_link, round(d + 1e-9, 5) as d from r")
 def bounded_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed links within a cost of each zone, by joins on frontiers."""
     origins = fixture(spark, sf_dir, "fx_od_nodes").select("origin").distinct()
@@ -264,13 +270,17 @@ def bounded_sssp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("origin", "linkid", "reverse_link", rounded("d", 5))
 
 
-@query(_REACH.format(cut0="where cost <= 25", cut1="and n.d <= 25") + "select origin, count(*) as links, round(sum(length_ft) / 5280, 4) as miles from (select distinct origin, r.linkid, length_ft from r join {fx_links} l on l.linkid = r.linkid) group by 1")
+@query(reach_sql(25) + "select origin, count(*) as links, round(sum(length_ft) / 5280, 4) as miles from (select distinct origin, r.linkid, length_ft from r join {fx_links} l on l.linkid = r.linkid) group by 1")
 def bikeshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = P.shed(reached_from_zones(spark, sf_dir, cutoff=25.0), fixture(spark, sf_dir, "fx_links"))
     return s.groupBy("origin").agg(F.count(F.lit(1)).alias("links"), F.round(F.sum("length_ft") / 5280, 4).alias("miles"))
 
 
-@query()
+@query(
+    reach_sql(25, then=True)
+    + """select origin, change, count(*) as links from (select origin, linkid, 'removed' as change from (select origin, linkid from r except select origin, linkid from rt)
+    union all select origin, linkid, 'added' from (select origin, linkid from rt except select origin, linkid from r)) group by 1, 2"""
+)
 def bikeshed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that a scenario adds to the sheds or takes from them."""
     links = fixture(spark, sf_dir, "fx_links")
@@ -309,7 +319,13 @@ def percent_detour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(
+    reach_sql(then=True)
+    + """, p as (select distinct origin, dest from {fx_od_nodes}), c as (select linkid, reverse_link, B from {fx_costs}),
+    a as (select p.origin, p.dest, case when p.origin = p.dest then 0 else min(r.d) end as now from p join c on c.B = p.dest join r on r.origin = p.origin and r.linkid = c.linkid and r.reverse_link = c.reverse_link group by 1, 2),
+    b as (select p.origin, p.dest, case when p.origin = p.dest then 0 else min(rt.d) end as fut from p join c on c.B = p.dest join rt on rt.origin = p.origin and rt.linkid = c.linkid and rt.reverse_link = c.reverse_link group by 1, 2)
+    select orig_taz, round(sum((now - fut) * trips) / sum(trips) + 1e-9, 5) as value, cast(sum(trips) as bigint) as trips from {fx_od_nodes} x join a on a.origin = x.origin and a.dest = x.dest join b on b.origin = x.origin and b.dest = x.dest group by 1"""
+)
 def impedance_change_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trip-weighted reduction of the least impedance by zone when roads are improved."""
     ods = fixture(spark, sf_dir, "fx_od_nodes")
@@ -317,7 +333,7 @@ def impedance_change_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, road in (("now", 0.5), ("then", 0.1)):
         d[n] = routes_of(spark, sf_dir, road).select("origin", "dest", F.col("d").alias(n))
     both = ods.join(d["now"], ["origin", "dest"]).join(d["then"], ["origin", "dest"])
-    return M.by_zone(both, "orig_taz", F.col("now") - F.col("then"), "trips").withColumn("value", F.round("value", 6))
+    return M.by_zone(both, "orig_taz", F.col("now") - F.col("then"), "trips").withColumn("value", rounded("value", 5))
 
 
 @query(
