@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +18,37 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on: clock values without a zone are UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per context: they may run where it isn't installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pathloom", None):
+        return
+    root = Path(__file__).resolve().parent
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(f.relative_to(root.parent))), f.read_bytes())
+    sc.addPyFile(write_shared(spark, content.getvalue(), "pathloom", ".zip"))
+    sc._pathloom = True
+
+
+def write_shared(spark: SparkSession, content: bytes, kind: str, ending: str = "") -> str:
+    """Write a file into the shared folder, named after its content; its whole path."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{kind}-{hashlib.sha256(content).hexdigest()[:24]}{ending}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        stream = fs.create(path, True)
+        for i in range(0, len(content), 1 << 20):
+            stream.write(bytearray(content[i : i + (1 << 20)]))
+        stream.close()
+    return fs.makeQualified(path).toString()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder, whole."""
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
