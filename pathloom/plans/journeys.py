@@ -192,7 +192,7 @@ m2 as (select source, stop_id, min(arr) as arr from (select * from m1 union all
 
 @query(_ARRIVALS + "select source, stop_id, round(arr, 4) as arrival from m2")
 def raptor_earliest_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Earliest arrival from a stop of each nation at every other with at most two rides."""
+    """Earliest arrival from a stop of each nation at every other with at most two rides, at one departure, as its SQL has it; raptor_all_departures is the whole."""
     return Z.itineraries(arrivals_of(spark, sf_dir)).select("source", "stop_id", F.round("arrival", 4).alias("arrival"))
 
 
@@ -202,6 +202,31 @@ def taz_transit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Z.zone_metrics(a, "zone").select("zone", "destinations", F.round("mean_s", 4).alias("mean_s"))
 
 
+def all_itineraries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From every stop at every quarter of an hour until the last call: source, departure, stop_id, arrival, rides."""
+    stops, times = fixture(spark, sf_dir, "fx_stops"), fixture(spark, sf_dir, "fx_stop_times")
+    last = times.agg(F.max("departure_sec").alias("last")).where("last >= 0")
+    slots = last.select(F.explode(F.expr("sequence(0L, last, 900L)")).alias("departure"))
+    sources = stops.select(F.col("stop_id").alias("source"), "stop_id").distinct().crossJoin(F.broadcast(slots)).withColumn("at", F.col("departure"))
+    return Z.search_itineraries(sources, times, Z.transfers(stops, 400.0, 4.4), 2)
+
+
+@query()
+def raptor_all_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earliest arrival from every stop at every other with at most two rides, for each departure."""
+    return all_itineraries(spark, sf_dir).select("source", "departure", "stop_id", F.round("arrival", 4).alias("arrival"), "rides")
+
+
+@query()
+def transit_metrics_all_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones (nations) by the best trips from any of their stops at any departure."""
+    zones = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("source"), F.col("c_nationkey").cast("bigint").alias("zone"))
+    trips = all_itineraries(spark, sf_dir).where("source <> stop_id").join(F.broadcast(zones.join(fixture(spark, sf_dir, "fx_stops").select(F.col("stop_id").alias("source")), "source")), "source")
+    # only the least time of each number of rides can matter
+    least = trips.groupBy("zone", F.col("stop_id").alias("dest"), "rides").agg(F.min(F.col("arrival") - F.col("departure")).alias("travel_s"))
+    return Z.zone_metrics(least, "zone").select("zone", "destinations", F.round("mean_s", 4).alias("mean_s"), F.round("mean_rides", 4).alias("mean_rides"))
+
+
 @query(
     """with r as (select distinct stop_id, route_id from {fx_stop_times}), p as (select a.stop_id as a, b.stop_id as b from {fx_stops} a join {fx_stops} b on a.stop_id < b.stop_id and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 900)
     select a, b from p where not exists (select 1 from r x join r y on x.route_id = y.route_id where x.stop_id = p.a and y.stop_id = p.b)"""
