@@ -106,7 +106,7 @@ def hmm_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def match_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.triage(H.match_summary(matched(spark, sf_dir)), table(spark, sf_dir, "coords"))
+    return H.triage(H.match_summary(matched(spark, sf_dir)), table(spark, sf_dir, "trips_df").where("tripid is not null"))
 
 
 # --- calibration ---------------------------------------------------------------------------------------------

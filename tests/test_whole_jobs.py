@@ -56,3 +56,13 @@ def test_every_stop_is_a_source(spark, data):
     assert old and old == {k: v for k, v in new.items() if k[0] in {s for s, _ in old}}
     zones = entry.queries()["transit_metrics_all_stops"](spark, data).collect()
     assert zones and all(z["destinations"] <= len(stops) for z in zones)
+
+
+def test_triage_counts_recordings_without_pings(spark, tmp_path):
+    pings = [(1, k, 10.0 + 20 * k, 1.0) for k in range(10)]
+    spark.createDataFrame(pings, "tripid bigint, sequence int, x double, y double").write.parquet(str(tmp_path / "coords.parquet"))
+    spark.createDataFrame([(1,), (1,), (2,), (None,)], "tripid bigint").write.parquet(str(tmp_path / "trips_df.parquet"))
+    links = [(k, False, k, k + 1, [(100.0 * k, 0.0), (100.0 * k + 100, 0.0)], None) for k in range(2)]
+    spark.createDataFrame(links, "linkid bigint, reverse_link boolean, A bigint, B bigint, geometry array<struct<x:double,y:double>>, removed_at timestamp").write.parquet(str(tmp_path / "links.parquet"))
+    got = {r["status"]: (r["n"], r["percent"]) for r in entry.queries()["match_triage"](spark, str(tmp_path)).collect()}
+    assert got == {"matched": (1, 50.0), "failed": (1, 50.0)}
