@@ -43,20 +43,30 @@ def end_nodes(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def one_to_one(base: DataFrame, join: DataFrame, tolerance: float, most_rounds: int = 50) -> DataFrame:
+def one_to_one(base: DataFrame, join: DataFrame, tolerance: float) -> DataFrame:
     """Base points (id, x, y) and join points (jid, jx, jy) paired one to one, each within the tolerance: of those that want the same one the nearest gets it, the others go on. id, jid, distance.
 
-    Rounds over the pairs within the tolerance, found once; every round settles all pairs that are each other's nearest (ties by id).
+    Rounds over the pairs within the tolerance, found once, until none is left; every round settles all pairs that are each other's nearest (ties by id). Where all of
+    some base points are equally near to all of some join points and to no other (points at one place), the i-th gets the i-th at once. Points without an id have no pairs.
     """
-    pairs = cut(distance_join(base, join, tolerance, ("x", "y"), ("jx", "jy")).select("id", "jid", "distance"))
-    done = None
-    for _ in range(most_rounds):
-        mine = pairs.groupBy("id").agg(F.min(F.struct("distance", "jid")).alias("b")).select("id", "b.jid", "b.distance")
-        theirs = pairs.groupBy("jid").agg(F.min(F.struct("distance", "id")).alias("b")).select("jid", "b.id")
-        hit = cut(mine.join(theirs, ["id", "jid"]))
+    pairs = cut(distance_join(base, join, tolerance, ("x", "y"), ("jx", "jy")).where("id is not null and jid is not null").select("id", "jid", "distance").distinct())
+    mine, theirs = Window.partitionBy("id"), Window.partitionBy("jid")
+    done, rounds = None, 0
+    while True:
+        p = pairs.withColumn("_i", F.col("distance") == F.min("distance").over(mine)).withColumn("_j", F.col("distance") == F.min("distance").over(theirs)).where("_i or _j")
+        p = p.withColumn("_both", F.col("_i") & F.col("_j"))
+        seen = lambda w, own, other: F.struct(F.bool_and(~F.col(own) | F.col("_both")).over(w).alias("only"), F.count_if("_both").over(w).alias("n"), F.bit_xor(F.when(F.col("_both"), F.xxhash64(other))).over(w).alias("h"))
+        p = p.withColumn("_si", seen(mine, "_i", "jid")).withColumn("_sj", seen(theirs, "_j", "id"))
+        first = lambda w, own, c: F.min(F.when(F.col(own), F.col(c))).over(w) == F.col(c)
+        p = p.withColumn("_first", first(mine, "_i", "jid") & first(theirs, "_j", "id")).where("_both")
+        alike = lambda w, c: (F.min(c).over(w) == F.max(c).over(w)) & F.bool_and(F.col(f"{c}.only")).over(w)
+        p = p.withColumn("_group", alike(theirs, "_si") & alike(mine, "_sj"))
+        p = p.withColumn("_ri", F.row_number().over(mine.orderBy("jid"))).withColumn("_rj", F.row_number().over(theirs.orderBy("id")))
+        hit = cut(p.where(F.col("_first") | (F.col("_group") & (F.col("_ri") == F.col("_rj")))).select("id", "jid", "distance"))
         if hit.isEmpty():
             break
-        done = hit if done is None else done.unionByName(hit)
+        done, rounds = hit if done is None else done.unionByName(hit), rounds + 1
+        done = cut(done) if rounds % 20 == 0 else done
         pairs = cut(pairs.join(hit.select("id"), "id", "left_anti").join(hit.select("jid"), "jid", "left_anti"))
     return (done if done is not None else pairs.limit(0)).select("id", "jid", "distance")
 

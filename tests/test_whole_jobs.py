@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pathloom.operators import conflation as K
 from pathloom.operators import transit as Z
 from pathloom.plans.fixtures import fixture
 
@@ -66,3 +67,18 @@ def test_triage_counts_recordings_without_pings(spark, tmp_path):
     spark.createDataFrame(links, "linkid bigint, reverse_link boolean, A bigint, B bigint, geometry array<struct<x:double,y:double>>, removed_at timestamp").write.parquet(str(tmp_path / "links.parquet"))
     got = {r["status"]: (r["n"], r["percent"]) for r in entry.queries()["match_triage"](spark, str(tmp_path)).collect()}
     assert got == {"matched": (1, 50.0), "failed": (1, 50.0)}
+
+
+def test_one_to_one_at_one_place_and_with_ties(spark):
+    rnd = random.Random(2)
+    base = [(i, 100.0, 100.0) for i in range(60)] + [(100 + i, float(rnd.randrange(6)), float(rnd.randrange(6))) for i in range(40)]
+    join = [(i, 100.0, 101.0) for i in range(60)] + [(100 + i, float(rnd.randrange(6)), float(rnd.randrange(6))) for i in range(45)]
+    want, left, right = [], {b[0] for b in base}, {j[0] for j in join}
+    for d, i, j in sorted((math.hypot(x - u, y - v), i, j) for i, x, y in base for j, u, v in join):
+        if d <= 4.0 and i in left and j in right:
+            want.append((i, j))
+            left.discard(i)
+            right.discard(j)
+    frames = spark.createDataFrame(base, "id bigint, x double, y double"), spark.createDataFrame(join, "jid bigint, jx double, jy double")
+    got = K.one_to_one(*frames, 4.0).collect()
+    assert sorted((r["id"], r["jid"]) for r in got) == sorted(want) and len(want) >= 60
