@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.common import cut
 from pathloom.operators.pieces import group_starts, whole_groups
 from pathloom.operators.spatial import near_segments
 
@@ -22,7 +23,6 @@ class MatchRules:
     noise: float = 30.0
     way: float = 60.0
     unlinked: float = 8.0
-    candidates: int = 12
 
 
 def _viterbi(r: MatchRules):
@@ -73,22 +73,29 @@ def _viterbi(r: MatchRules):
 def match_traces(points: DataFrame, edges: DataFrame, rules: MatchRules = MatchRules()) -> DataFrame:
     """The directed link of every matched point: tripid, sequence, linkid, reverse_link, distance, last_matched, points (of the trip).
 
-    `points` has tripid, sequence, x, y; `edges` are directed with A, B and straight ends (ax, ay, bx, by). Each point's candidates are the nearest directed links
-    within the radius (found through grid cells; of more than `candidates` the nearest). Points without any are left out. A trip's candidates are
-    decoded together: traces are bounded by what one ride records.
+    `points` has tripid, sequence, x, y; `edges` are directed with A, B and straight ends (ax, ay, bx, by). Each point's candidates are all directed links
+    within the radius (found through grid cells). Points without any are left out. A trip's candidates are
+    decoded together: traces are bounded by what one ride records. Links between two points that no point lies on are not filled in.
     """
     ends = edges.select("linkid", "reverse_link", "A", "B", "ax", "ay", "bx", "by")
     n = points.groupBy("tripid").agg(F.count(F.lit(1)).alias("points"))
     near = near_segments(points.select("tripid", "sequence", "x", "y"), ends, rules.radius, rules.radius * 2)
-    pack = F.slice(F.sort_array(F.collect_list(F.struct("distance", "linkid", "reverse_link", "A", "B", "share", "ax", "ay", "bx", "by"))), 1, rules.candidates)
-    cand = near.groupBy("tripid", "sequence", "x", "y").agg(pack.alias("c")).select("tripid", "sequence", "x", "y", F.explode("c").alias("c")).select("tripid", "sequence", "x", "y", "c.*")
     at = lambda p, q: F.col(p) + F.col("share") * (F.col(q) - F.col(p))
-    cand = cand.withColumn("px", at("ax", "bx")).withColumn("py", at("ay", "by")).withColumn("along", F.col("share") * F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    cand = near.withColumn("px", at("ax", "bx")).withColumn("py", at("ay", "by")).withColumn("along", F.col("share") * F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
     rows = cand.join(n, "tripid").select("tripid", "sequence", "x", "y", "linkid", "reverse_link", "distance", "A", "B", "px", "py", "along", "points")
     schema = "tripid bigint, sequence int, linkid bigint, reverse_link boolean, distance double, last_matched int, points bigint"
     return rows.repartition("tripid").sortWithinPartitions("tripid", "sequence", "distance", "linkid", "reverse_link").mapInPandas(_viterbi(rules), schema)
 
 
+def match_again(points: DataFrame, edges: DataFrame, rules: MatchRules = MatchRules(), wider: MatchRules | None = None) -> DataFrame:
+    """As match_traces, and trips that fail (no match, or fewer than two links) once more with wider rules (by default all distances doubled); what they find then counts, if anything."""
+    wider = wider or replace(rules, radius=rules.radius * 2, noise=rules.noise * 2, way=rules.way * 2)
+    first = cut(match_traces(points, edges, rules))
+    fine = cut(match_summary(first).where(F.size("edges") >= 2).select("tripid"))
+    second = cut(match_traces(points.join(fine, "tripid", "left_anti"), edges, wider))
+    return first.join(second.select("tripid").distinct(), "tripid", "left_anti").unionByName(second)
+
+
 def match_summary(matched: DataFrame) -> DataFrame:
     """Per trip: match_ratio (matched points over all), mean_distance and its links as a list without repeats in a row."""
     order = F.sort_array(F.collect_list(F.struct("sequence", "linkid", "reverse_link")))

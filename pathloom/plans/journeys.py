@@ -90,12 +90,12 @@ def name_fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ping of every recording on today's streets (straight from end to end, in feet)."""
+    """Every ping of every recording on today's streets (straight from end to end, in feet), failed recordings with wider rules."""
     g = table(spark, sf_dir, "links").where("removed_at is null and A is not null and B is not null and size(geometry) > 1")
     first, last = F.get("geometry", F.lit(0)), F.get("geometry", F.size("geometry") - 1)
     edges = g.groupBy("linkid", "reverse_link").agg(F.min(F.struct("A", "B", first["x"].alias("ax"), first["y"].alias("ay"), last["x"].alias("bx"), last["y"].alias("by"))).alias("e")).select("linkid", "reverse_link", "e.*")
     pings = table(spark, sf_dir, "coords").where("x is not null and y is not null").groupBy("tripid", "sequence").agg(F.min(F.struct("x", "y")).alias("p")).select("tripid", "sequence", "p.x", "p.y")
-    return H.match_traces(pings, edges, H.MatchRules(radius=150.0, noise=40.0, way=80.0))
+    return H.match_again(pings, edges, H.MatchRules(radius=150.0, noise=40.0, way=80.0))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from pathloom.operators import conflation as K
+from pathloom.operators import map_matching as H
 from pathloom.operators import transit as Z
 from pathloom.plans.fixtures import fixture
 
@@ -82,3 +83,19 @@ def test_one_to_one_at_one_place_and_with_ties(spark):
     frames = spark.createDataFrame(base, "id bigint, x double, y double"), spark.createDataFrame(join, "jid bigint, jx double, jy double")
     got = K.one_to_one(*frames, 4.0).collect()
     assert sorted((r["id"], r["jid"]) for r in got) == sorted(want) and len(want) >= 60
+
+
+def test_failures_are_matched_with_wider_rules(spark):
+    links = [(k, False, k, k + 1, 100.0 * k, 0.0, 100.0 * k + 100, 0.0) for k in range(3)]
+    edges = spark.createDataFrame(links, "linkid bigint, reverse_link boolean, A bigint, B bigint, ax double, ay double, bx double, by double")
+    pings = [(t, k, 10.0 + 20 * k, y) for t, y in ((1, 2.0), (2, 80.0), (3, 500.0)) for k in range(14)]
+    got = {r["tripid"]: (r["match_ratio"], len(r["edges"])) for r in H.match_summary(H.match_again(spark.createDataFrame(pings, "tripid bigint, sequence int, x double, y double"), edges, H.MatchRules(radius=50.0))).collect()}
+    assert got == {1: (1.0, 3), 2: (1.0, 3)}
+
+
+def test_every_link_within_the_radius_is_a_candidate(spark):
+    near = [(k, False, 100 + k, 200 + k, 0.0, 1.0 + 0.01 * k, 50.0, 1.0 + 0.01 * k) for k in range(15)]  # all nearer at the first fix than the link that goes on
+    edges = spark.createDataFrame([*near, (99, False, 1, 2, 0.0, 2.0, 100.0, 2.0), (98, False, 2, 3, 100.0, 2.0, 200.0, 2.0)], "linkid bigint, reverse_link boolean, A bigint, B bigint, ax double, ay double, bx double, by double")
+    pings = spark.createDataFrame([(1, 0, 25.0, 0.0), (1, 1, 95.0, 0.0), (1, 2, 150.0, 0.0)], "tripid bigint, sequence int, x double, y double")
+    got = H.match_traces(pings, edges, H.MatchRules(radius=20.0, noise=30.0)).orderBy("sequence").collect()
+    assert [r["linkid"] for r in got] == [99, 99, 98]
