@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -38,9 +39,7 @@ def ship(spark: SparkSession) -> None:
 
 def write_shared(spark: SparkSession, content: bytes, kind: str, ending: str = "") -> str:
     """Write a file into the shared folder, named after its content; its whole path."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{kind}-{hashlib.sha256(content).hexdigest()[:24]}{ending}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = _file_system(spark, f"{shared_folder(spark).rstrip('/')}/{kind}-{hashlib.sha256(content).hexdigest()[:24]}{ending}")
     if not fs.exists(path):
         stream = fs.create(path, True)
         for i in range(0, len(content), 1 << 20):
@@ -75,13 +74,25 @@ def usable(col: str) -> Column:
     return F.col(col).isNotNull() & ~F.isnan(F.col(col))
 
 
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    """A path and its file system, as the cluster sees them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, else the context's own checkpoint folder. Only in local mode, where one machine is
+    all there is, a temporary one may stand in; on a cluster a missing folder is an error."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(shared_folder, "own", None)
+    own = sc._jsc.sc().getCheckpointDir()
+    found = sc.getConf().get("spark.checkpoint.dir", None) or (own.get() if own.isDefined() else None)
     if not found:
-        found = shared_folder.own = tempfile.mkdtemp(prefix="pathloom-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="pathloom-")
+        p, fs = _file_system(spark, f"file://{found}")
+        fs.deleteOnExit(p)
+    if own.isEmpty():
         sc.setCheckpointDir(found)
     return found
 
@@ -90,3 +101,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage with a table written into the shared folder, of which readers take only the columns they need. It is removed when the
+    driver ends; `instead`, an earlier such table which nothing reads any more (a former round's), at once."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    p, fs = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    if instead is not None:
+        fs.delete(_file_system(spark, instead._written)[0], True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
