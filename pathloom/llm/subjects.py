@@ -7,22 +7,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.common import cut
-from pathloom.llm.sentences import sentences_of, terms_of
+from pathloom.common import written
+from pathloom.llm.sentences import Words, terms_of
 from pathloom.llm.words import words_of
 
-#: Terms in fewer sentences are not in the matrix; of more terms than VOCABULARY the most frequent are.
-LEAST_COUNT, VOCABULARY = 4, 150_000
+#: Terms in fewer sentences, or in a smaller share of all sentences, are not in the matrix. A sentence has a few dozen terms, so no
+#: corpus has more than a few dozen / LEAST_RATE terms in it.
+LEAST_COUNT, LEAST_RATE = 4, 4e-6
 #: Labelled documents used for the seeds at most (in the order of a hash of their key).
 LABELLED = 20_000
 #: What a subject's title or scope adds to the counts of its words.
 SCOPE_WEIGHT = 2.0
-#: Passes that update both factors, and updates of a sentence's mixture in each.
-PASSES, INNER = 3, 4
+#: Sentences (of labels: documents) that say as much of a term as what is usual.
+FEW = 4
+#: In how many labelled documents a term must stand for its labels to count half; what labels count beside the corpus then.
+TRUSTED, ANCHOR = 8, 1.0
+#: Alternating passes at most; they end when no component's terms move by more than SETTLED of its weight. Updates of the mixtures in a pass.
+PASSES, SETTLED, INNER = 6, 0.02, 8
 #: A sentence is about a subject if so much of its terms is explained by it, and it explains this share of what all subjects do.
 ABOUT_TERMS, ABOUT_SHARE = 1.5, 0.6
 #: A document has a subject if so much of its sentences is about it; below RARE a subject is only touched on.
@@ -30,106 +35,183 @@ QUARTER, RARE = 0.25, 0.2
 #: Terms that mark a remark in passing: this share of the subject sentences they stand in (at least REMARKS of them) is about a subject
 #: that their document (of at least LONG sentences) only touches on.
 REMARK_SHARE, REMARKS, LONG = 0.6, 15, 5
-#: Terms of one block when factors are summed.
-BLOCK = 4096
+#: Characters of texts that make one block of the matrix, about; terms of one block of a factor; parts of a sum added up in one group.
+BLOCK_CHARS, BLOCK, FAN_IN = 4 << 20, 65536, 32
+#: Distinct terms a task counts before it hands them on.
+COUNTED = 1 << 21
+
+_MATRIX = "docs array<{}>, doc_rows binary, row_terms binary, cols binary, distinct binary, counts binary"
+
+
+def _matrix_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of the matrix with a numbering of terms of their own."""
+    words = Words()
+
+    def block(keys: list, texts: list[str]) -> pd.DataFrame:
+        nonlocal words
+        if len(words) > words.REMEMBERED:
+            words = Words()
+        w, row, doc = words.sentences(texts)
+        distinct, rows, cols = words.terms(w, row)
+        # sentences in the order of documents, which come without gaps
+        docs, doc_rows = np.unique(doc, return_counts=True)
+        order = np.argsort(doc, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        rows = place[rows]
+        cols = cols[np.argsort(rows, kind="stable")]
+        out = [doc_rows.astype(np.int32), np.bincount(rows, minlength=len(doc)).astype(np.int32), cols.astype(np.int32), distinct, np.bincount(cols, minlength=len(distinct)).astype(np.int32)]
+        return pd.DataFrame([[[keys[d] for d in docs], *[x.tobytes() for x in out]]], columns=["docs", "doc_rows", "row_terms", "cols", "distinct", "counts"])
+
+    keys, texts, size = [], [], 0
+    for batch in batches:
+        for key, text in zip(batch["doc"], batch["text"]):
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+            if size >= BLOCK_CHARS:
+                yield block(keys, texts)
+                keys, texts, size = [], [], 0
+    if keys:
+        yield block(keys, texts)
 
 
-def _hashes(words: list[str]) -> list[int]:
-    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in terms_of(words)]
+def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many sentences of a task's blocks each term stands."""
+    terms, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        t, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return t, np.bincount(at, np.concatenate([p[1] for p in parts]), len(t)).astype(np.int64)
 
-def _term_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        terms, lengths = [], []
-        for text in batch["text"]:
-            found = [_hashes(w) for w in sentences_of(text)]
-            terms.append([t for s in found for t in s])
-            lengths.append([len(s) for s in found])
-        yield pd.DataFrame({"doc": batch["doc"], "terms": terms, "lengths": lengths})
+        for d, c in zip(batch["distinct"], batch["counts"]):
+            terms, counts = merged([(terms, counts), (np.frombuffer(d, np.int64), np.frombuffer(c, np.int32))])
+            if len(terms) > COUNTED:
+                yield pd.DataFrame({"t": terms, "n": counts})
+                terms, counts = terms[:0], counts[:0]
+    yield pd.DataFrame({"t": terms, "n": counts})
 
 
 @dataclass
 class Matrix:
-    """The sentences of some documents as rows of a sparse 0/1 matrix, with each row's document."""
+    """The sentences of some documents as rows of a sparse 0/1 matrix (entries in the order of rows), with each row's document."""
 
     rows: np.ndarray
     cols: np.ndarray
     docs: np.ndarray
-    n: int
+    keys: list
 
     @classmethod
-    def of(cls, batch: pd.DataFrame) -> Matrix:
-        lengths = [np.asarray(x, np.int64) for x in batch["lengths"]]
-        terms = [np.asarray(x, np.int64) for x in batch["terms"]]
-        each = np.concatenate([*lengths, np.zeros(0, np.int64)])
-        cols = np.concatenate([*terms, np.zeros(0, np.int64)])
-        rows = np.repeat(np.arange(len(each)), each)
-        docs = np.repeat(np.arange(len(batch)), [len(x) for x in lengths])
-        known = cols >= 0
-        return cls(rows[known], cols[known], docs, len(each))
-
-
-def mixtures(m: Matrix, h: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's mixture of the components h (by multiplicative updates for the divergence), and what each component explains of each entry."""
-    k = len(h)
-    w = np.full((m.n, k), 1.0 / k)
-    ht = np.ascontiguousarray(h.T)[m.cols]
-    share = ht
+    def of(cls, r, hashes: np.ndarray) -> Matrix:  # noqa: ANN001
+        """A block with the vocabulary's numbers of terms; terms that aren't in it are left out."""
+        distinct, cols = np.frombuffer(r.distinct, np.int64), np.frombuffer(r.cols, np.int32)
+        at = np.minimum(np.searchsorted(hashes, distinct), len(hashes) - 1)
+        number = np.where(hashes[at] == distinct, at, -1)[cols]
+        row_terms, doc_rows = np.frombuffer(r.row_terms, np.int32), np.frombuffer(r.doc_rows, np.int32)
+        known = number >= 0
+        return cls(np.repeat(np.arange(len(row_terms)), row_terms)[known], number[known], np.repeat(np.arange(len(doc_rows)), doc_rows), list(r.docs))
+
+    @property
+    def n(self) -> int:
+        return len(self.docs)
+
+
+def mixtures(m: Matrix, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
+    """What each subject explains of each row's terms (rows x subjects), by multiplicative updates for the divergence.
+
+    For given components the mixtures are a convex problem: where the updates begin makes no difference to where they end. Terms that
+    only the background (the last component) has need no updates, they count as explained by it.
+    """
+    k = len(h) - 1
+    bearing = (h[:k] > 1e-11).any(axis=0)[m.cols]
+    rows, cols = m.rows[bearing], m.cols[bearing]
+    mass = np.zeros((m.n, k))
+    if not len(rows):
+        return mass
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+    which = rows[starts]
+    place = np.cumsum(np.r_[False, rows[1:] != rows[:-1]])
+    rest = np.bincount(m.rows[~bearing], minlength=m.n)[which]
+    of_term = np.ascontiguousarray(h.T, np.float32)[cols]
+    w = np.full((len(which), k + 1), 1.0 / (k + 1), np.float32)
     for _ in range(rounds):
-        share = w[m.rows] * ht
+        share = w[place] * of_term
         share /= share.sum(axis=1, keepdims=True) + 1e-30
-        w = np.stack([np.bincount(m.rows, share[:, j], m.n) for j in range(k)], axis=1)
-        w = w / (w.sum(axis=1, keepdims=True) + 1e-30) + 1e-6
-    return w, share
+        w = np.add.reduceat(share, starts, axis=0)
+        said = w[:, :k].copy()
+        w[:, k] += rest
+        w = w / w.sum(axis=1, keepdims=True) + 1e-6
+    mass[which] = said
+    return mass
 
 
-def verdicts(m: Matrix, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each sentence's strongest subject and whether it is about it. The last component is the background."""
-    _, share = mixtures(m, h, 2 * INNER)
-    mass = np.stack([np.bincount(m.rows, share[:, j], m.n) for j in range(len(h) - 1)], axis=1)
-    top = mass.argmax(axis=1) if m.n else np.zeros(0, np.int64)
-    most = mass.max(axis=1) if m.n else np.zeros(0)
+def verdicts(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's strongest subject and whether it is about it."""
+    top, most = mass.argmax(axis=1), mass.max(axis=1)
     return top, (most >= ABOUT_TERMS) & (most >= ABOUT_SHARE * mass.sum(axis=1))
 
 
-def fractions(m: Matrix, top: np.ndarray, about: np.ndarray, documents: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def fractions(m: Matrix, top: np.ndarray, about: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Share of each document's sentences about each subject, and its number of sentences."""
-    n = np.bincount(m.docs, minlength=documents)
-    hits = np.bincount(m.docs[about] * k + top[about], minlength=documents * k).reshape(documents, k)
+    d = len(m.keys)
+    n = np.bincount(m.docs, minlength=d)
+    hits = np.bincount(m.docs[about] * k + top[about], minlength=d * k).reshape(d, k)
     return hits / np.maximum(n, 1)[:, None], n
 
 
-def _summed(rows: DataFrame, of_batch: Callable[[pd.DataFrame], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """The sum over all batches of what of_batch gives. Tasks add up their own batches; blocks of columns are added up across tasks."""
+def _summed(blocks: DataFrame, of_block: Callable[[Matrix], np.ndarray], hashes, size: int, fan_in: int = FAN_IN) -> np.ndarray:  # noqa: ANN001
+    """The sum of a vector over all blocks. Each task adds up its own blocks and gives what isn't zero, in pieces; the pieces are added up in a tree,
+    fan_in parts at a time, so that no group grows with the data."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(shape)
+        total = np.zeros(size)
         for batch in batches:
-            total += of_batch(batch)
-        for b in range(0, shape[1], BLOCK):
-            yield pd.DataFrame({"block": [b], "part": [total[:, b : b + BLOCK].tobytes()]})
+            for r in batch.itertuples():
+                total += of_block(Matrix.of(r, hashes.value))
+        task = TaskContext.get().partitionId()
+        for b in range(0, size, BLOCK):
+            part = total[b : b + BLOCK]
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pd.DataFrame({"task": [task], "piece": [b // BLOCK], "at": [at.astype(np.int32).tobytes()], "x": [part[at].tobytes()]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": group["block"].iloc[:1], "part": [sum(np.frombuffer(x) for x in group["part"]).tobytes()]})
-
-    parts = rows.mapInPandas(partial, "block int, part binary").groupBy("block").applyInPandas(add, "block int, part binary")
-    out = np.zeros(shape)
+        total = np.zeros(BLOCK)
+        group = group.sort_values("task")
+        for at, x in zip(group["at"], group["x"]):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(x)
+        at = np.flatnonzero(total)
+        return pd.DataFrame({"task": [group["task"].iloc[0] // fan_in], "piece": group["piece"].iloc[:1], "at": [at.astype(np.int32).tobytes()], "x": [total[at].tobytes()]})
+
+    kind = "task int, piece int, at binary, x binary"
+    n = blocks.rdd.getNumPartitions()
+    parts = blocks.mapInPandas(partial, kind)
+    while n > 1:
+        parts = parts.groupBy("piece", F.floor(F.col("task") / fan_in)).applyInPandas(add, kind)
+        n = -(-n // fan_in)
+    out = np.zeros(size)
     for r in parts.collect():  # no more than the factor itself
-        b = r["block"]
-        out[:, b : b + BLOCK] = np.frombuffer(r["part"]).reshape(shape[0], -1)
+        at = np.frombuffer(r["at"], np.int32) + r["piece"] * BLOCK
+        out[at] += np.frombuffer(r["x"])
     return out
 
 
-def seeds(counts: np.ndarray, totals: np.ndarray, overall: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Anchored components: a term belongs to the subject whose labelled sentences it mostly stands in, as far as it does so; else to the background."""
-    k = len(counts)
-    p = (counts + 4 * base[:, None]) / (totals + 4)
+def shares(counts: np.ndarray, totals: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Of each term's sentences, the share that is about each subject; of few sentences, rather what is usual."""
+    return (counts + FEW * base[:, None]) / (totals + FEW)
+
+
+def anchored(p: np.ndarray, overall: np.ndarray) -> np.ndarray:
+    """Components from the shares of each term's sentences that are about each subject: a term belongs to the subject that has most of it, as far as
+    it has more than terms of all subjects give it; else to the background."""
+    k = len(p)
     best = p.argmax(axis=0)
-    top = np.sort(np.vstack([p, np.zeros_like(totals)]), axis=0)
+    top = np.sort(np.vstack([p, np.zeros_like(overall)]), axis=0)
     # as far as the subject is above what terms of all subjects have, and ahead of the next one
     pure = np.clip((top[-1] - np.maximum(0.3, top[-2] + 0.15)) / 0.4, 0, 1)
-    h = np.full((k + 1, len(totals)), 1e-12)
-    h[best, np.arange(len(totals))] += pure * overall
+    h = np.full((k + 1, len(overall)), 1e-12)
+    h[best, np.arange(len(overall))] += pure * overall
     h[:k] += 0.02 * overall * p * (pure > 0)
     h[k] = (1 - pure) * overall + 1e-3
     return h / h.sum(axis=1, keepdims=True)
@@ -137,9 +219,10 @@ def seeds(counts: np.ndarray, totals: np.ndarray, overall: np.ndarray, base: np.
 
 def subject_areas(
     documents: DataFrame, key: str, text: str, subjects: DataFrame, labels: DataFrame, subject: str = "subject", about: tuple[str, ...] = ("title", "scope"),
-    least_count: int = LEAST_COUNT, vocabulary: int = VOCABULARY,
+    least_count: int = LEAST_COUNT, passes: int = PASSES,
 ) -> DataFrame:
-    """key, subject, fraction (of the document's sentences about it) and sentences, for every subject a document has.
+    """key, subject, fraction (of the document's sentences about it), mixture (its share of what all subjects explain of the document) and sentences, for
+    every subject a document has.
 
     Defined cases: documents with a null or empty text, or without sentences about a subject, have no row; null keys have none; repeated
     documents and labels count once; labels of unknown documents, or of a value that is no subject ('none'), only say
@@ -147,117 +230,115 @@ def subject_areas(
     the result is empty; other columns are ignored. Texts are read whole.
 
     Method: the matrix has a row per sentence and a column per term (a word or a pair of neighbours; the terms of at least
-    least_count sentences of the corpus, and of these the `vocabulary` most frequent). Seeds from labelled sentences and the subjects'
-    scopes anchor one component per subject beside a background. Non-negative alternating updates over the whole corpus give terms
-    the labels don't know to the component they occur with. A sentence's mixture says what it is about; terms that, over the whole corpus, accompany
-    subjects their documents only touch on mark remarks in passing, which don't count. Documents never shuffle; the
-    factor, (subjects + 1) x vocabulary numbers, is all that tasks share.
+    least_count sentences of the corpus and LEAST_RATE of all). Seeds from labelled sentences and the subjects' scopes anchor one component per
+    subject beside a background. Then, over the whole corpus and until the components settle, the sentences' mixtures are solved for the
+    components, and the components for the mixtures: so terms the labels don't know come to the subject they occur with, and terms that only stand in
+    labelled documents leave it. The mixtures say what a sentence is about; terms that, over the whole corpus, accompany subjects their documents only
+    touch on mark remarks in passing, which don't count. The matrix is written once, in blocks; documents never shuffle; the factor,
+    (subjects + 1) x vocabulary numbers, is all that tasks share.
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
     names = [r[0] for r in subjects.where(F.col(subject).isNotNull()).select(subject).distinct().orderBy(subject).collect()]
     k = len(names)
     docs = documents.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    result = f"doc {kind}, subject string, fraction double, sentences long"
+    result = f"doc {kind}, subject string, fraction double, mixture double, sentences long"
     empty = spark.createDataFrame([], result).withColumnRenamed("doc", key)
     if not k:
         return empty
-    terms = cut(docs.mapInPandas(_term_rows, f"doc {kind}, terms array<bigint>, lengths array<int>"))
+    blocks = written(docs.mapInPandas(_matrix_rows, _MATRIX.format(kind)))
 
-    counts = terms.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
-    known = counts.orderBy(F.desc("n"), "t").limit(vocabulary).toPandas().sort_values("t")
+    sentences = blocks.agg(F.sum(F.octet_length("row_terms"))).first()[0] or 0
+    enough = max(least_count, LEAST_RATE * sentences / 4)
+    counts = blocks.select("distinct", "counts").mapInPandas(_term_counts, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+    known = counts.where(F.col("n") >= enough).toPandas().sort_values("t")
     v = len(known)
     if not v:
         return empty
-    hashes, overall = known["t"].to_numpy(np.int64), known["n"].to_numpy(float)
-    shared = spark.sparkContext.broadcast(hashes)
-
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = shared.value
-        for batch in batches:
-            numbered = []
-            for t in batch["terms"]:
-                t = np.asarray(t, np.int64)
-                at = np.minimum(np.searchsorted(vocabulary, t), len(vocabulary) - 1)
-                numbered.append(np.where(vocabulary[at] == t, at, -1).astype(np.int32))
-            yield batch.assign(terms=numbered)
-
-    coded = cut(terms.mapInPandas(number, f"doc {kind}, terms array<int>, lengths array<int>"))
+    vocabulary, overall = known["t"].to_numpy(np.int64), known["n"].to_numpy(float)
+    hashes = spark.sparkContext.broadcast(vocabulary)
 
     # seeds
     said = labels.select(F.col(key).alias("doc"), F.col(subject).alias("s")).where("doc is not null").groupBy("doc").agg(F.collect_set("s").alias("said"))
-    said = said.orderBy(F.xxhash64("doc")).limit(LABELLED)
     place = {s: i for i, s in enumerate(names)}
-
-    def labelled(batch: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((k + 1, v + 1))
-        for start in range(0, len(batch), 256):
-            part = batch.iloc[start : start + 256]
-            m = Matrix.of(part)
-            y = np.zeros((len(part), k))
-            for i, s in enumerate(part["said"]):
-                own = [place[x] for x in s if x in place]
+    labelled = {r["doc"]: [place[x] for x in r["said"] if x in place] for r in said.orderBy(F.xxhash64("doc")).limit(LABELLED).collect()}
+    told = spark.sparkContext.broadcast(labelled)
+
+    def from_labels(m: Matrix) -> np.ndarray:
+        y, judged = np.zeros((len(m.keys), k)), np.zeros(len(m.keys), bool)
+        for i, d in enumerate(m.keys):
+            if (own := told.value.get(d)) is not None:
+                judged[i] = True
                 y[i, own] = 1 / max(1, len(own))
-            of_row = y[m.docs]
-            for j in range(k):
-                out[j, :v] += np.bincount(m.cols, of_row[m.rows, j], v)
-            out[k, :v] += np.bincount(m.cols, minlength=v)
-            out[:k, v] += of_row.sum(axis=0)
-            out[k, v] += m.n
-        return out
-
-    sums = _summed(coded.join(F.broadcast(said), "doc"), labelled, (k + 1, v + 1))
+        out = np.zeros((k + 2, v + 1))
+        entries = judged[m.docs[m.rows]]
+        of, cols = m.docs[m.rows[entries]], m.cols[entries]
+        for j in range(k):
+            out[j, :v] = np.bincount(cols, y[of, j], v)
+        out[k, :v] = np.bincount(cols, minlength=v)
+        out[k + 1, :v] = np.bincount(np.unique(of * v + cols) % v, minlength=v)
+        out[:k, v] = y.sum(axis=0)
+        out[k, v] = judged.sum()
+        return out.ravel()
+
+    sums = _summed(blocks, from_labels, hashes, (k + 2) * (v + 1)).reshape(k + 2, v + 1)
     base = sums[:k, v] / max(1.0, sums[k, v]) if sums[k, v] else np.full(k, 1 / k)
     for r in subjects.select(subject, *about).collect():
         if r[subject] in place:
-            for t in {t for a in about for t in _hashes(words_of(r[a]))}:
-                at = int(np.searchsorted(hashes, t))
-                if at < v and hashes[at] == t:
+            for t in {t for a in about for t in terms_of(words_of(r[a]))}:
+                at = int(np.searchsorted(vocabulary, t))
+                if at < v and vocabulary[at] == t:
                     sums[place[r[subject]], at] += SCOPE_WEIGHT
-                    sums[k, at] += SCOPE_WEIGHT
-    h = seeds(sums[:k, :v], sums[k, :v], overall, base)
-
-    def sliced(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Matrix]]:
-        for start in range(0, len(batch), 512):
-            part = batch.iloc[start : start + 512]
-            yield part, Matrix.of(part)
-
-    for _ in range(PASSES):
+                    sums[k : k + 2, at] += SCOPE_WEIGHT
+    # a document's sentences are no independent evidence: how far a share is believed goes by the documents it is from
+    independent = sums[k + 1, :v]
+    seeded = shares(sums[:k, :v] * independent / np.maximum(sums[k, :v], 1), independent, base)
+    trust = independent / (independent + TRUSTED)
+    h = anchored(seeded, overall)
+
+    for _ in range(passes):
         now = spark.sparkContext.broadcast(h)
 
-        def update(batch: pd.DataFrame, now=now) -> np.ndarray:
-            out = np.zeros((k + 1, v))
-            for _, m in sliced(batch):
-                _, share = mixtures(m, now.value, INNER)
-                for j in range(k + 1):
-                    out[j] += np.bincount(m.cols, share[:, j], v)
-            return out
-
-        h = _summed(coded, update, (k + 1, v)) + 1e-9
-        h /= h.sum(axis=1, keepdims=True)
+        def explained(m: Matrix, now=now) -> np.ndarray:  # noqa: ANN001
+            mass = mixtures(m, now.value)
+            # of a sentence that says little about subjects, little is about them
+            mass /= np.maximum(mass.sum(axis=1), ABOUT_TERMS)[:, None]
+            out = np.zeros((k, v + 1))
+            for j in range(k):
+                some = (mass[:, j] > 0.01)[m.rows]
+                out[j, :v] = np.bincount(m.cols[some], mass[m.rows[some], j], v)
+            out[:, v] = mass.sum(axis=0)
+            return out.ravel()
+
+        sums = _summed(blocks, explained, hashes, k * (v + 1)).reshape(k, v + 1)
+        found = shares(sums[:, :v], overall, sums[:, v] * 4 / sentences)
+        before, h = h, anchored((found + ANCHOR * trust * seeded) / (1 + ANCHOR * trust), overall)
+        now.unpersist()
+        if np.abs(h - before).sum(axis=1).max() < 2 * SETTLED:
+            break
     final = spark.sparkContext.broadcast(h)
 
-    def remarks(batch: pd.DataFrame) -> np.ndarray:
-        out = np.zeros((2, v))
-        for part, m in sliced(batch):
-            top, yes = verdicts(m, final.value)
-            share, n = fractions(m, top, yes, len(part), k)
-            judged = yes & (n[m.docs] >= LONG)
-            rare = judged & (share[m.docs, top] < RARE)
-            out[0] += np.bincount(m.cols, judged[m.rows], v)
-            out[1] += np.bincount(m.cols, rare[m.rows], v)
-        return out
-
-    n_in, n_rare = _summed(coded, remarks, (2, v))
+    def remarks(m: Matrix) -> np.ndarray:
+        top, yes = verdicts(mixtures(m, final.value))
+        share, n = fractions(m, top, yes, k)
+        judged = yes & (n[m.docs] >= LONG)
+        rare = judged & (share[m.docs, top] < RARE)
+        return np.concatenate([np.bincount(m.cols[x[m.rows]], minlength=v) for x in (judged, rare)])
+
+    n_in, n_rare = _summed(blocks, remarks, hashes, 2 * v).reshape(2, v)
     marks = spark.sparkContext.broadcast((n_in >= REMARKS) & (n_rare >= REMARK_SHARE * n_in))
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part, m in sliced(batch):
-                top, yes = verdicts(m, final.value)
+            for r in batch.itertuples():
+                m = Matrix.of(r, hashes.value)
+                mass = mixtures(m, final.value)
+                top, yes = verdicts(mass)
                 yes &= np.bincount(m.rows, marks.value[m.cols], m.n) == 0
-                share, n = fractions(m, top, yes, len(part), k)
+                share, n = fractions(m, top, yes, k)
+                mix = np.stack([np.bincount(m.docs, mass[:, j], len(m.keys)) for j in range(k)], axis=1)
+                mix /= np.maximum(mix.sum(axis=1), 1e-9)[:, None]
                 d, j = np.nonzero(share >= QUARTER)
-                yield pd.DataFrame({"doc": part["doc"].to_numpy()[d], "subject": [names[x] for x in j], "fraction": share[d, j], "sentences": n[d]})
+                yield pd.DataFrame({"doc": [m.keys[x] for x in d], "subject": [names[x] for x in j], "fraction": share[d, j], "mixture": mix[d, j], "sentences": n[d]})
 
-    return coded.mapInPandas(give, result).dropDuplicates(["doc", "subject"]).withColumnRenamed("doc", key)
+    return blocks.mapInPandas(give, result).dropDuplicates(["doc", "subject"]).withColumnRenamed("doc", key)

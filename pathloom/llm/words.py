@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 import regex
@@ -18,14 +19,23 @@ TAG = regex.compile(r"</?[a-z!][^<>]{0,300}>", regex.I)
 #: A hyphen at the end of a line, with what quoting or lists put before the next one.
 HYPHEN = regex.compile(r"[-‐‑­][ \t]*\r?\n[ \t>*•#|]*")
 ESCAPED = regex.compile(r"\\u([0-9a-fA-F]{4})|\\[nrt]")
-HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}\p{Me}\p{Cs}]|(?![\t\n\r\f\v\x1c-\x1f\x85])\p{Cc}")
+#: Invisible characters: formats, marks on letters, halves of characters, controls that aren't white space. Those of the first 65,536 code points are one
+#: table, which is searched fast.
+HIDDEN_ANY = regex.compile(r"(?:[\p{Cf}\p{Mn}\p{Me}\p{Cs}]|(?![\s\x1c-\x1f])\p{Cc})+")
+HIDDEN = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x10000)) if HIDDEN_ANY.match(c))) + "]+")
+BEYOND = re.compile("[\U00010000-\U0010ffff]+")
 WORD = regex.compile(r"[^\W_]+")
 
 
-def _unescape(m: regex.Match) -> str:
+def unescaped(m: regex.Match) -> str:
     return chr(int(m[1], 16)) if m[1] else " "
 
 
+def visible(text: str) -> str:
+    """The text without invisible characters."""
+    return HIDDEN.sub("", text if text.isascii() else BEYOND.sub(lambda m: HIDDEN_ANY.sub("", m[0]), text))
+
+
 def fold(text: str) -> str:
     """Lower-case plain text: markup, invisible characters, accents and line-end hyphens removed, look-alike letters replaced."""
     if "&" in text:
@@ -33,11 +43,11 @@ def fold(text: str) -> str:
     if "<" in text:
         text = TAG.sub(" ", INLINE.sub("", text))
     if "\\" in text:
-        text = ESCAPED.sub(_unescape, text)
+        text = ESCAPED.sub(unescaped, text)
     text = HYPHEN.sub("", text)
     if text.isascii():
-        return HIDDEN.sub("", text).lower() if not text.isprintable() else text.lower()
-    return HIDDEN.sub("", unicodedata.normalize("NFKD", text)).lower().translate(LOOKALIKES)
+        return visible(text).lower() if not text.isprintable() else text.lower()
+    return visible(unicodedata.normalize("NFKD", text)).lower().translate(LOOKALIKES)
 
 
 def words_of(text: str | None) -> list[str]:

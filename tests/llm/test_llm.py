@@ -200,11 +200,11 @@ class TestSubjects:
             truth[i] = s
         return docs, truth
 
-    def run(self, spark, docs, labels):
+    def run(self, spark, docs, labels, **kw):
         d = spark.createDataFrame(docs, "id bigint, text string, subject string")
         s = spark.createDataFrame([("sport", "Sport", "races and the peloton"), ("law", "Law", "courts and the statute"), (None, None, None)], "subject string, title string, scope string")
         lab = spark.createDataFrame(labels, "id bigint, subject string")
-        return subjects.subject_areas(d, "id", "text", s, lab, least_count=2)
+        return subjects.subject_areas(d, "id", "text", s, lab, least_count=2, **kw)
 
     def test_held_out(self, spark):
         docs, truth = self.corpus()
@@ -213,6 +213,49 @@ class TestSubjects:
         right = sum(got.get(i) == truth[i] for i in range(60, len(docs)))
         assert right >= 0.97 * (len(docs) - 60)
 
+    def test_updates_bring_words_no_label_knows(self, spark, monkeypatch):
+        """A few labels name a few of each subject's words; the alternating passes find the others by the company they keep."""
+        rnd = random.Random(12)
+        known = {s: ["".join(rnd.choice("bdfgklmnprstaeiou") for _ in range(8)) for _ in range(150)] for s in ("sport", "law")}
+        docs, truth = [], {}
+        for i in range(900):
+            s = rnd.choice(["sport", "law", None])
+            said = [f"Notes about {rnd.choice(known[s])} and {rnd.choice(known[s])} with {rnd.choice(known[s])} again." if s else "Nothing else was said." for _ in range(4)]
+            docs.append((i, " ".join([*said, "Thanks to all who came here.", "More about this next week."]), "x"))
+            truth[i] = s
+        labels = [(i, truth[i] or "none") for i in range(18)]
+        recall = {}
+        for passes in (0, subjects.PASSES):
+            got = {r["id"]: r["subject"] for r in self.run(spark, docs, labels, passes=passes).collect()}
+            held = [i for i in range(18, len(docs)) if truth[i]]
+            recall[passes] = sum(got.get(i) == truth[i] for i in held) / len(held)
+            assert all(truth[i] == s for i, s in got.items())
+        assert recall[subjects.PASSES] >= 0.95 and recall[subjects.PASSES] >= recall[0] + 0.1, recall
+
+    def test_sums_in_a_tree(self, spark):
+        """However many tasks and levels, the sum is that of all blocks."""
+        import pandas as pd
+
+        rnd = np.random.default_rng(13)
+        docs = spark.createDataFrame([(i, " ".join(f"word{chr(97 + x)} here" for x in rnd.integers(0, 20, 9)) + ".") for i in range(300)], "doc bigint, text string")
+        blocks = docs.repartition(23).mapInPandas(subjects._matrix_rows, subjects._MATRIX.format("bigint")).persist()
+        counts = pd.concat([pd.DataFrame({"t": np.frombuffer(r["distinct"], np.int64), "n": np.frombuffer(r["counts"], np.int32)}) for r in blocks.collect()]).groupby("t")["n"].sum()
+        shared = spark.sparkContext.broadcast(counts.index.to_numpy())
+        n = len(counts)
+        for fan_in in (2, 5, 32):
+            assert (subjects._summed(blocks, lambda m: np.bincount(m.cols, minlength=n), shared, n, fan_in) == counts.to_numpy()).all()
+
+    def test_where_updates_begin_makes_no_difference(self):
+        """The mixtures for given components are those that more updates would reach, so they need not be kept from pass to pass."""
+        rnd = np.random.default_rng(14)
+        h = rnd.random((4, 30)) ** 4
+        h /= h.sum(axis=1, keepdims=True)
+        rows = np.repeat(np.arange(40), 12)
+        m = subjects.Matrix(rows, rnd.integers(0, 30, len(rows)), np.arange(40), list(range(40)))
+        first = subjects.mixtures(m, h)
+        longer = subjects.mixtures(m, h, rounds=400)
+        assert np.abs(first - longer).max() < 0.15 * 12 and (first.argmax(axis=1) == longer.argmax(axis=1)).mean() >= 0.9
+
     def test_defined_cases(self, spark):
         assert self.run(spark, [], []).count() == 0
         assert self.run(spark, [(1, None, ""), (2, "", ""), (None, "Notes about the peloton again.", "")], [(1, "sport")]).count() == 0
