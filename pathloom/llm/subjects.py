@@ -117,33 +117,40 @@ class Matrix:
         return len(self.docs)
 
 
-def mixtures(m: Matrix, h: np.ndarray, rounds: int = INNER) -> np.ndarray:
+@dataclass
+class Components:
+    """The factor of terms: each one's subject, its weight in that subject's component (0: none), and its weight in the background."""
+
+    subject: np.ndarray
+    inside: np.ndarray
+    outside: np.ndarray
+
+    def moved(self, before: Components, k: int) -> float:
+        """The largest share of a component's weight that has moved."""
+        same = self.subject == before.subject
+        gone = np.bincount(before.subject, np.where(same, np.abs(self.inside - before.inside), before.inside), k)
+        come = np.bincount(self.subject, np.where(same, 0, self.inside), k)
+        return float((gone + come).max()) / 2
+
+
+def mixtures(m: Matrix, h: Components, k: int, rounds: int = INNER) -> np.ndarray:
     """What each subject explains of each row's terms (rows x subjects), by multiplicative updates for the divergence.
 
     For given components the mixtures are a convex problem: where the updates begin makes no difference to where they end. Terms that
-    only the background (the last component) has need no updates, they count as explained by it.
+    only the background has need no updates, they count as explained by it.
     """
-    k = len(h) - 1
-    bearing = (h[:k] > 1e-11).any(axis=0)[m.cols]
+    bearing = h.inside[m.cols] > 0
     rows, cols = m.rows[bearing], m.cols[bearing]
-    mass = np.zeros((m.n, k))
-    if not len(rows):
-        return mass
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    which = rows[starts]
-    place = np.cumsum(np.r_[False, rows[1:] != rows[:-1]])
-    rest = np.bincount(m.rows[~bearing], minlength=m.n)[which]
-    of_term = np.ascontiguousarray(h.T, np.float32)[cols]
-    w = np.full((len(which), k + 1), 1.0 / (k + 1), np.float32)
+    place, a, b = rows * k + h.subject[cols], h.inside[cols], h.outside[cols]
+    terms = np.maximum(np.bincount(m.rows, minlength=m.n), 1)
+    said = np.zeros((m.n, k))
+    w, rest = np.full(m.n * k, 1.0), np.ones(m.n)
     for _ in range(rounds):
-        share = w[place] * of_term
-        share /= share.sum(axis=1, keepdims=True) + 1e-30
-        w = np.add.reduceat(share, starts, axis=0)
-        said = w[:, :k].copy()
-        w[:, k] += rest
-        w = w / w.sum(axis=1, keepdims=True) + 1e-6
-    mass[which] = said
-    return mass
+        x = w[place] * a
+        said = np.bincount(place, x / (x + rest[rows] * b), m.n * k).reshape(m.n, k)
+        w = (said / terms[:, None] + 1e-6).ravel()
+        rest = 1 - said.sum(axis=1) / terms + 1e-6
+    return said
 
 
 def verdicts(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +209,7 @@ def shares(counts: np.ndarray, totals: np.ndarray, base: np.ndarray) -> np.ndarr
     return (counts + FEW * base[:, None]) / (totals + FEW)
 
 
-def anchored(p: np.ndarray, overall: np.ndarray) -> np.ndarray:
+def anchored(p: np.ndarray, overall: np.ndarray) -> Components:
     """Components from the shares of each term's sentences that are about each subject: a term belongs to the subject that has most of it, as far as
     it has more than terms of all subjects give it; else to the background."""
     k = len(p)
@@ -210,11 +217,8 @@ def anchored(p: np.ndarray, overall: np.ndarray) -> np.ndarray:
     top = np.sort(np.vstack([p, np.zeros_like(overall)]), axis=0)
     # as far as the subject is above what terms of all subjects have, and ahead of the next one
     pure = np.clip((top[-1] - np.maximum(0.3, top[-2] + 0.15)) / 0.4, 0, 1)
-    h = np.full((k + 1, len(overall)), 1e-12)
-    h[best, np.arange(len(overall))] += pure * overall
-    h[:k] += 0.02 * overall * p * (pure > 0)
-    h[k] = (1 - pure) * overall + 1e-3
-    return h / h.sum(axis=1, keepdims=True)
+    inside, outside = pure * overall, (1 - pure) * overall + 1e-3
+    return Components(best, inside / np.maximum(np.bincount(best, inside, k), 1e-9)[best], outside / outside.sum())
 
 
 def subject_areas(
@@ -234,8 +238,8 @@ def subject_areas(
     subject beside a background. Then, over the whole corpus and until the components settle, the sentences' mixtures are solved for the
     components, and the components for the mixtures: so terms the labels don't know come to the subject they occur with, and terms that only stand in
     labelled documents leave it. The mixtures say what a sentence is about; terms that, over the whole corpus, accompany subjects their documents only
-    touch on mark remarks in passing, which don't count. The matrix is written once, in blocks; documents never shuffle; the factor,
-    (subjects + 1) x vocabulary numbers, is all that tasks share.
+    touch on mark remarks in passing, which don't count. The matrix is written once, in blocks; documents never shuffle; the vocabulary and
+    three numbers for each of its terms are all that tasks share.
     """
     spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
@@ -300,13 +304,15 @@ def subject_areas(
         now = spark.sparkContext.broadcast(h)
 
         def explained(m: Matrix, now=now) -> np.ndarray:  # noqa: ANN001
-            mass = mixtures(m, now.value)
+            mass = mixtures(m, now.value, k)
             # of a sentence that says little about subjects, little is about them
             mass /= np.maximum(mass.sum(axis=1), ABOUT_TERMS)[:, None]
-            out = np.zeros((k, v + 1))
-            for j in range(k):
-                some = (mass[:, j] > 0.01)[m.rows]
-                out[j, :v] = np.bincount(m.cols[some], mass[m.rows[some], j], v)
+            # what each subject explains of a sentence counts for all its terms
+            r, j = np.nonzero(mass > 0.01)
+            n = np.bincount(m.rows, minlength=m.n)
+            first = np.cumsum(n) - n
+            entries = np.repeat(first[r] - np.cumsum(n[r]) + n[r], n[r]) + np.arange(n[r].sum())
+            out = np.bincount(np.repeat(j, n[r]) * (v + 1) + m.cols[entries], np.repeat(mass[r, j], n[r]), k * (v + 1)).reshape(k, v + 1)
             out[:, v] = mass.sum(axis=0)
             return out.ravel()
 
@@ -314,12 +320,12 @@ def subject_areas(
         found = shares(sums[:, :v], overall, sums[:, v] * 4 / sentences)
         before, h = h, anchored((found + ANCHOR * trust * seeded) / (1 + ANCHOR * trust), overall)
         now.unpersist()
-        if np.abs(h - before).sum(axis=1).max() < 2 * SETTLED:
+        if h.moved(before, k) < SETTLED:
             break
     final = spark.sparkContext.broadcast(h)
 
     def remarks(m: Matrix) -> np.ndarray:
-        top, yes = verdicts(mixtures(m, final.value))
+        top, yes = verdicts(mixtures(m, final.value, k))
         share, n = fractions(m, top, yes, k)
         judged = yes & (n[m.docs] >= LONG)
         rare = judged & (share[m.docs, top] < RARE)
@@ -332,7 +338,7 @@ def subject_areas(
         for batch in batches:
             for r in batch.itertuples():
                 m = Matrix.of(r, hashes.value)
-                mass = mixtures(m, final.value)
+                mass = mixtures(m, final.value, k)
                 top, yes = verdicts(mass)
                 yes &= np.bincount(m.rows, marks.value[m.cols], m.n) == 0
                 share, n = fractions(m, top, yes, k)
