@@ -6,21 +6,24 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes, by doubling. The last symbol must be the smallest and occur once."""
+    """Positions in the order of their suffixes, by doubling from as many symbols as one number holds. The last symbol must be the smallest and occur once."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[0, np.diff(text[order]) != 0])
-    step = 1
-    while rank[order[-1]] < n - 1:
+    bits = max(1, int(text.max()).bit_length()) if n else 1
+    step = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for i in range(min(step, n)):
+        key[: n - i] |= text[i:].astype(np.int64) << (bits * (step - 1 - i))
+    while True:
+        order = np.argsort(key)
+        new = np.r_[False, np.diff(key[order]) != 0]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(new)
+        if n == 0 or rank[order[-1]] == n - 1:
+            return order
         second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
+        second[: max(0, n - step)] = rank[step:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, np.diff(key[order]) != 0])
         step *= 2
-    return order
 
 
 class FMIndex:

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +12,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathloom.common import shared_folder
+from pathloom.common import write_shared
 from pathloom.llm.lexicon import Lexicon, compile_words
 
 #: Fixed value: how the vocabulary's texts are cut into words before merging.
@@ -79,22 +77,14 @@ def frequent_words(texts: DataFrame, text: str, limit: int = LEXICON_WORDS) -> l
 
 def share(spark: SparkSession, content: bytes, kind: str) -> str:
     """Put a file into the shared folder, have executors fetch it; its name among SparkFiles. Lost executors fetch it again."""
-    name = f"{kind}-{hashlib.sha256(content).hexdigest()[:24]}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark).rstrip('/')}/{name}")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        stream = fs.create(path, True)
-        for i in range(0, len(content), 1 << 20):
-            stream.write(bytearray(content[i : i + (1 << 20)]))
-        stream.close()
-    spark.sparkContext.addFile(fs.makeQualified(path).toString())
-    return name
+    path = write_shared(spark, content, kind)
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
 
 
 def _encode(vocabulary: str, lexicon: str, keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, known = read_ranks(vocabulary), Lexicon(SparkFiles.get(lexicon))
+        ranks, known = read_ranks(SparkFiles.get(vocabulary)), Lexicon(SparkFiles.get(lexicon))
         cut = regex.compile(WORDS).findall
         memo: dict[str, list[int]] = {}
 
@@ -130,11 +120,13 @@ def encode_corpus(documents: DataFrame, key: str, text: str, vocabulary: str) ->
 
     Method: the corpus's frequent words with their ids form a minimal acyclic transducer (see lexicon), which tasks map into
     memory from a shared file; any other word is merged exactly. Two passes over the texts: one in the JVM to count
-    words, one in Python to encode; nothing but word counts is shuffled.
+    words, one in Python to encode; nothing but word counts is shuffled. Executors fetch the vocabulary, too, from the shared folder.
     """
     ranks = read_ranks(vocabulary)
     words = sorted({w.encode("utf-8") for w in frequent_words(documents, text)})
     name = share(documents.sparkSession, compile_words((w, tuple(merge(w, ranks))) for w in words), "lexicon")
     rows = documents.select(F.col(key), F.col(text))
     kind = documents.schema[key].dataType.simpleString()
-    return rows.mapInArrow(_encode(os.path.abspath(vocabulary), name, 1), f"`{key}` {kind}, ids array<int>")
+    with open(vocabulary, "rb") as f:
+        ranks_file = share(documents.sparkSession, f.read(), "vocabulary")
+    return rows.mapInArrow(_encode(ranks_file, name, 1), f"`{key}` {kind}, ids array<int>")

@@ -50,6 +50,31 @@ def fold(text: str) -> str:
     return visible(unicodedata.normalize("NFKD", text)).lower().translate(LOOKALIKES)
 
 
+#: What ends a text where several are folded as one string; in a text it counts as white space.
+TEXT_END = "\x1d"
+_TAG_INSIDE = re.compile(r"</?[a-z!][^<>\x1d]{0,300}>", re.I)
+_INLINE_INSIDE = re.compile(INLINE.pattern.replace("[^<>]", "[^<>\x1d]"), re.I)
+
+
+def folded(texts: list[str]) -> str:
+    """Many texts as fold leaves them, each ended by TEXT_END; look-alike letters are left to replace_lookalikes."""
+    if any(TEXT_END in t for t in texts):
+        texts = [t.replace(TEXT_END, " ") for t in texts]
+    text = TEXT_END.join([*texts, ""])
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _TAG_INSIDE.sub(" ", _INLINE_INSIDE.sub("", text))
+    if "\\" in text:
+        text = ESCAPED.sub(unescaped, text)
+    text = HYPHEN.sub("", text)
+    return visible(text if text.isascii() else unicodedata.normalize("NFKD", text)).lower()
+
+
+def replace_lookalikes(word: str) -> str:
+    return word if word.isascii() else word.translate(LOOKALIKES)
+
+
 def words_of(text: str | None) -> list[str]:
     """The words of a text (letters and digits in a row) after folding; none for a null."""
     return WORD.findall(fold(text)) if text else []

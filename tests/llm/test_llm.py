@@ -155,10 +155,75 @@ class TestLeaks:
     def test_items_apart_and_passes(self, spark, monkeypatch):
         docs = [PASSAGE + " " + OTHER, OTHER, PASSAGE]
         want = {(0, 100), (0, 101), (1, 101), (2, 100)}
-        assert self.found(spark, docs, (PASSAGE, OTHER, None, "", "too short")) == want
+        assert self.found(spark, docs, (PASSAGE, OTHER, None, "", "isn't there")) == want
         monkeypatch.setattr(leaks, "PASS_BYTES", 100)
         assert self.found(spark, docs, (PASSAGE, OTHER), shard_words=20) == want
 
+    def test_short_items(self, spark):
+        """A passage of a word or two is found where all of it stands."""
+        docs = ["alpha", "it said: Zebra-crossing closed!", "crossing zebra closed", "blue tram stop here", "tram blue stop", "the zebra"]
+        assert self.found(spark, docs, ("Alpha", "zebra crossing", "Blue tram stop", "-")) == {(0, 100), (1, 101), (3, 102)}
+
+    def test_spans_are_apart(self, spark):
+        """An item at both ends of a long text gives two spans, and what lies between stays."""
+        n = len(words.words_of(PASSAGE))
+        docs = spark.createDataFrame([(1, f"{PASSAGE} {'nothing here ' * 2500} {PASSAGE}"), (2, f"{PASSAGE} {PASSAGE}")], "id bigint, text string")
+        tests = spark.createDataFrame([(7, PASSAGE)], "item bigint, text string")
+        got = {r["id"]: [tuple(x) for x in r["spans"]] for r in leaks.leaked_items(docs, "id", "text", tests, "item", "text").collect()}
+        assert got == {1: [(0, n - 1), (5000 + n, 5000 + 2 * n - 1)], 2: [(0, 2 * n - 1)]}
+
+    def test_repeated_documents_and_clashing_columns(self, spark):
+        docs = spark.createDataFrame([(1, PASSAGE, "a", 1.0), (1, PASSAGE, "a", 1.0), (None, PASSAGE, "b", 2.0)], "id bigint, text string, spans string, share double")
+        tests = spark.createDataFrame([(7, PASSAGE, "x"), (7, PASSAGE, "x"), (None, PASSAGE, "y")], "item bigint, text string, doc string")
+        got = leaks.leaked_items(docs, "id", "text", tests, "item", "text").collect()
+        assert [(r["id"], r["item"], len(r["spans"])) for r in got] == [(1, 7, 1)]
+
+    def test_common_phrase_is_passed_over(self):
+        """A phrase that thousands of passages share is not among the searched ones, so its occurrences aren't multiplied by them."""
+        rnd = random.Random(15)
+        noise = ["".join(rnd.choice("bdfgklmn") + rnd.choice("aeiou") for _ in range(3)) for _ in range(2000)]
+        said = [(i, " ".join([*rnd.sample(noise, 12), "which of these did the old rider say", *rnd.sample(noise, 12)])) for i in range(3000)]
+        p = leaks.Passages(said)
+        assert max(sizes.max() for _, sizes, _ in p.searched) < 20
+
+    def test_recall_against_brute_force(self, spark):
+        """Every copy with up to a fifth of its words changed, and every run of twelve, is found; the exact longest common subsequence is the judge."""
+        rnd = random.Random(16)
+        noise = ["".join(rnd.choice("bdfgklmn") + rnd.choice("aeiou") for _ in range(3)) for _ in range(400)]
+        common = "the of and a to in that it is was for on".split()
+        items = [" ".join(rnd.choice(common) if rnd.random() < 0.4 else rnd.choice(noise) for _ in range(rnd.randrange(10, 60))) for _ in range(40)]
+        docs = []
+        for i in range(160):
+            w = items[i % 40].split()
+            for _ in range(rnd.randrange(0, int(len(w) * 0.3) + 1)):
+                at, kind = rnd.randrange(len(w)), rnd.random()
+                w[at : at + 1] = [rnd.choice(noise)] if kind < 0.6 else [] if kind < 0.8 else [w[at], rnd.choice(common)]
+            cut = rnd.randrange(0, len(w) // 2) if rnd.random() < 0.3 else 0
+            docs.append(" ".join([*rnd.choices(noise + common * 8, k=30), *w[cut:], *rnd.choices(noise + common * 8, k=30)]))
+
+        def holds(d, t):
+            d, t = d.split(), t.split()
+            best, row = 0, [0] * len(d)
+            for x in t:  # longest run
+                row = [(row[j - 1] if j else 0) + 1 if y == x else 0 for j, y in enumerate(d)]
+                best = max([best, *row])
+            if best >= min(12, len(t)):
+                return True
+            for a in range(0, len(d)):  # of a copy no longer than the passage and what is added to it
+                window, line = d[a : a + len(t) + leaks.edits(len(t))], [0] * (len(t) + leaks.edits(len(t)) + 1)
+                for x in t:
+                    new = line[:]
+                    for j, y in enumerate(window):
+                        new[j + 1] = max(new[j], line[j + 1], line[j] + 1 if x == y else 0)
+                    line = new
+                if max(line) >= 0.8 * len(t):
+                    return True
+            return False
+
+        want = {(i, 100 + k) for i, d in enumerate(docs) for k, t in enumerate(items) if len(set(d.split()) & set(t.split())) > 0.5 * len(set(t.split())) and holds(d, t)}
+        got = self.found(spark, docs, items, shard_words=700)
+        assert len(want) > 100 and len(want & got) >= 0.98 * len(want) and len(got - want) <= 0.03 * len(want)
+
     def test_empty_tables(self, spark):
         assert self.found(spark, []) == set() and self.found(spark, [PASSAGE], ()) == set()
 
