@@ -141,16 +141,19 @@ def mixtures(m: Matrix, h: Components, k: int, rounds: int = INNER) -> np.ndarra
     """
     bearing = h.inside[m.cols] > 0
     rows, cols = m.rows[bearing], m.cols[bearing]
-    place, a, b = rows * k + h.subject[cols], h.inside[cols], h.outside[cols]
+    # only subjects of which a row has a term
+    keys, place = np.unique(rows * k + h.subject[cols], return_inverse=True)
+    of, a, b = keys // k, h.inside[cols], h.outside[cols]
     terms = np.maximum(np.bincount(m.rows, minlength=m.n), 1)
-    said = np.zeros((m.n, k))
-    w, rest = np.full(m.n * k, 1.0), np.ones(m.n)
+    said, w, rest = np.zeros(len(keys)), np.ones(len(keys)), np.ones(m.n)
     for _ in range(rounds):
         x = w[place] * a
-        said = np.bincount(place, x / (x + rest[rows] * b), m.n * k).reshape(m.n, k)
-        w = (said / terms[:, None] + 1e-6).ravel()
-        rest = 1 - said.sum(axis=1) / terms + 1e-6
-    return said
+        said = np.bincount(place, x / (x + rest[rows] * b), len(keys))
+        w = said / terms[of] + 1e-6
+        rest = 1 - np.bincount(of, said, m.n) / terms + 1e-6
+    out = np.zeros(m.n * k)
+    out[keys] = said
+    return out.reshape(m.n, k)
 
 
 def verdicts(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,11 +303,17 @@ def subject_areas(
     trust = independent / (independent + TRUSTED)
     h = anchored(seeded, overall)
 
-    for _ in range(passes):
+    for done in range(passes + 1):
         now = spark.sparkContext.broadcast(h)
 
         def explained(m: Matrix, now=now) -> np.ndarray:  # noqa: ANN001
             mass = mixtures(m, now.value, k)
+            # terms of subjects in passing
+            top, yes = verdicts(mass)
+            share, n = fractions(m, top, yes, k)
+            judged = yes & (n[m.docs] >= LONG)
+            rare = judged & (share[m.docs, top] < RARE)
+            marks = [np.bincount(m.cols[x[m.rows]], minlength=v) for x in (judged, rare)]
             # of a sentence that says little about subjects, little is about them
             mass /= np.maximum(mass.sum(axis=1), ABOUT_TERMS)[:, None]
             # what each subject explains of a sentence counts for all its terms
@@ -312,33 +321,25 @@ def subject_areas(
             n = np.bincount(m.rows, minlength=m.n)
             first = np.cumsum(n) - n
             entries = np.repeat(first[r] - np.cumsum(n[r]) + n[r], n[r]) + np.arange(n[r].sum())
-            out = np.bincount(np.repeat(j, n[r]) * (v + 1) + m.cols[entries], np.repeat(mass[r, j], n[r]), k * (v + 1)).reshape(k, v + 1)
-            out[:, v] = mass.sum(axis=0)
-            return out.ravel()
-
-        sums = _summed(blocks, explained, hashes, k * (v + 1)).reshape(k, v + 1)
-        found = shares(sums[:, :v], overall, sums[:, v] * 4 / sentences)
-        before, h = h, anchored((found + ANCHOR * trust * seeded) / (1 + ANCHOR * trust), overall)
-        now.unpersist()
-        if h.moved(before, k) < SETTLED:
+            out = np.bincount(np.repeat(j, n[r]) * v + m.cols[entries], np.repeat(mass[r, j], n[r]), k * v)
+            return np.concatenate([out, mass.sum(axis=0), *marks])
+
+        sums = _summed(blocks, explained, hashes, k * v + k + 2 * v)
+        n_in, n_rare = sums[k * v + k :].reshape(2, v)
+        found = shares(sums[: k * v].reshape(k, v), overall, sums[k * v : k * v + k] * 4 / sentences)
+        after = anchored((found + ANCHOR * trust * seeded) / (1 + ANCHOR * trust), overall)
+        if done == passes or after.moved(h, k) < SETTLED:
             break
-    final = spark.sparkContext.broadcast(h)
-
-    def remarks(m: Matrix) -> np.ndarray:
-        top, yes = verdicts(mixtures(m, final.value, k))
-        share, n = fractions(m, top, yes, k)
-        judged = yes & (n[m.docs] >= LONG)
-        rare = judged & (share[m.docs, top] < RARE)
-        return np.concatenate([np.bincount(m.cols[x[m.rows]], minlength=v) for x in (judged, rare)])
-
-    n_in, n_rare = _summed(blocks, remarks, hashes, 2 * v).reshape(2, v)
+        now.unpersist()
+        h = after
+    # the components whose mixtures would bring back the same, with the marks of the last pass
     marks = spark.sparkContext.broadcast((n_in >= REMARKS) & (n_rare >= REMARK_SHARE * n_in))
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 m = Matrix.of(r, hashes.value)
-                mass = mixtures(m, final.value, k)
+                mass = mixtures(m, now.value, k)
                 top, yes = verdicts(mass)
                 yes &= np.bincount(m.rows, marks.value[m.cols], m.n) == 0
                 share, n = fractions(m, top, yes, k)
