@@ -33,11 +33,12 @@ class SpikeRules:
     spike_run: int = 3
     spike_factor: float = 4 / 3
     spike_more: float = 7.0
-    #: The forest: trees, readings a tree is grown on, its height, the score that makes a reading a candidate, and how few readings are all candidates.
+    #: The forest: trees, readings a tree is grown on, its height. A candidate is what scores above this share of its source's own readings; of so few
+    #: readings all are candidates.
     trees: int = 16
     sample: int = 64
     height: int = 6
-    score: float = 0.45
+    usual: float = 0.5
     few: int = 16
     #: Parts of an hour for the seasonal feature.
     phases: int = 12
@@ -161,7 +162,7 @@ def _scored(r: SpikeRules, every: bool):
             view = np.lib.stride_tricks.sliding_window_view(lows, limit_of).min(axis=1)
             one = group[limit_of - 1 :] == group[: len(v) - limit_of + 1]
             held[: len(view)] = np.where(one, view, -np.inf)
-        score = np.zeros(len(v))
+        score, isolated = np.zeros(len(v)), np.zeros(len(v), bool)
         k = np.flatnonzero(rest)
         if len(k):
             us = frame["us"].fillna(-1).to_numpy(np.int64)
@@ -170,10 +171,13 @@ def _scored(r: SpikeRules, every: bool):
             rec, piece = frame["rec"].to_numpy()[k[firsts]], frame["piece"].to_numpy()[k[firsts]]
             seed = rec.astype(np.uint64) * np.uint64(1_000_003) + piece.astype(np.uint64)
             score[k] = forest_scores(_features(v[k], us[k], g, run[k], r), g, seed << np.uint64(16), r)
-            few = np.bincount(g)[g] <= r.few
-            score[k[few]] = np.maximum(score[k[few]], r.score)
+            # the source's own distribution of scores says what is isolated there
+            size = np.bincount(g)
+            ranked = score[k][np.lexsort((score[k], g))]
+            usual = ranked[firsts + ((size - 1) * r.usual).astype(np.int64)]
+            isolated[k] = (score[k] > usual[g]) | (size[g] <= r.few)
         high_run = np.maximum.reduceat(held, starts)
-        candidate = rest & (score >= r.score) & (v > high_run[group])
+        candidate = rest & isolated & (v > high_run[group])
         rule = np.where(limit, "limit", np.where(stuck, "stuck", np.where(candidate, "candidate", None)))
         keep = own & (every | (rule != None))  # noqa: E711
         k = np.flatnonzero(keep)
@@ -267,7 +271,8 @@ def implausible_readings(readings: DataFrame, source: str, counter: str, at: str
     ignored.
 
     Method: for each source (piece by piece where it is long) an isolation forest on level, difference, seasonal and run-length features scores
-    every reading. Readings that score as candidates, and aren't held by too many in a row, are then checked exactly against the source's other readings.
+    every reading. Readings more isolated than most of their source's, by its own distribution of scores, and not held by too many in a row, are candidates; only
+    they can be spikes, and they are checked exactly against the source's other readings.
     Limits and stuck values are explicit rules.
 
     Scale: one shuffle of the readings by (source, piece); what leaves a piece are its flagged readings, its candidates and one summary.

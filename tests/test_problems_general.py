@@ -2,10 +2,13 @@
 
 import math
 import random
+import unittest.mock
 
 import numpy as np
+import pandas as pd
 import pytest
 
+import pathloom.operators.spikes as spikes_module
 from pathloom.operators.grid import empty_cells, regular_grid
 from pathloom.operators.nearby import haversine_m, latest_position, points_within
 from pathloom.operators.pieces import whole_groups
@@ -198,6 +201,26 @@ class TestSpikes:
         got = self.cases(self.found(spark, {1: a, 2: b, 3: c, 4: d}))
         assert got == {(1, 10, "spike"), (1, 11, "spike"), (1, 20, "limit"), (1, 30, "limit")} | {(2, i, "stuck") for i in range(20, 32)}
 
+    def test_forest_decides(self, spark):
+        """Where the forest says nothing, no spike is found; where it says anything, few are."""
+        rnd = np.random.default_rng(3)
+        frame = []
+        for rec in range(40):
+            v = rnd.normal(10, 1.5, 80).round(2)
+            v[rnd.choice(np.arange(5, 75, 5), 2, replace=False)] = [33.0, 41.5]
+            frame += [(rec, i, i * 5_000_000, x) for i, x in enumerate(v)]
+        frame = pd.DataFrame(frame, columns=["rec", "seq", "us", "v"]).assign(piece=0, own=True)
+
+        def spikes(scores):
+            with unittest.mock.patch.object(spikes_module, "forest_scores", scores):
+                r = SpikeRules()
+                first = pd.concat(spikes_module._scored(r, False)(iter([frame])))
+                return int((pd.concat(spikes_module._judged(r)(iter([first.sort_values(["rec", "rule", "seq"])])))["rule"] == "spike").sum())
+
+        assert spikes(forest_scores) == 80
+        assert spikes(lambda f, group, seed, r: np.full(len(f), 0.5)) == 0
+        assert spikes(lambda f, group, seed, r: rnd.random(len(f))) < 60
+
     def test_pieces_agree_with_whole(self, spark, monkeypatch):
         rnd = random.Random(4)
         vs = [round(rnd.uniform(5, 12), 2) for _ in range(900)]
