@@ -11,6 +11,8 @@ from pathloom.common import micros
 
 #: References to one key beyond this many are spread over further parts, each with its own copy of the key's intervals.
 PART_ROWS = 200_000
+#: Of keys with that many there are no more than this, whatever the tables' size: beyond, parts become larger.
+MOST_MANY = 100_000
 
 
 @dataclass(frozen=True)
@@ -48,7 +50,7 @@ def orphan_references(references: list[Reference], parents: dict[str, Parent], p
     Method: the ends of the validity intervals and the references are brought together by key, sorted by time, and merged
     in one linear pass that counts the intervals open at each reference. The intervals of a key are first reduced to
     distinct ones. Keys with many references are cut into parts by row; their intervals, not their references, are
-    repeated for each part. The list of such keys has at most (all references / part_rows) rows.
+    repeated for each part. The list of such keys, which is broadcast, has at most MOST_MANY rows.
     """
     refs = None
     for r in references:
@@ -63,7 +65,8 @@ def orphan_references(references: list[Reference], parents: dict[str, Parent], p
         one = one.where("key is not null and a is not null and (b is null or b > a)").distinct()
         held = one if held is None else held.unionByName(one)
 
-    many = refs.groupBy("parent", "key").count().where(F.col("count") > part_rows)
+    part_rows = max(part_rows, refs.count() // MOST_MANY)
+    many = refs.groupBy("parent", "key").count().where(F.col("count") > part_rows)  # MOST_MANY rows at most
     many = many.select("parent", "key", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
     refs = refs.join(F.broadcast(many), ["parent", "key"], "left")
     refs = refs.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row_id", "field"), F.col("parts")).cast("int")))
