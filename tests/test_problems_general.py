@@ -10,7 +10,7 @@ import pytest
 
 import pathloom.operators.spikes as spikes_module
 from pathloom.operators.grid import empty_cells, regular_grid
-from pathloom.operators.nearby import haversine_m, latest_position, points_within
+from pathloom.operators.nearby import haversine_m, latest_position, places_within, points_in_regions, points_within
 from pathloom.operators.pieces import whole_groups
 from pathloom.operators.references import Parent, Reference, orphan_references, orphans_per_period
 from pathloom.operators.spikes import SpikeRules, forest_scores, implausible_readings, score_readings, wrong_summaries
@@ -98,12 +98,12 @@ class TestNearby:
         ok = sorted({(k, a, o) for k, a, o, *_ in pts if k is not None and a is not None and o is not None and not math.isnan(a) and abs(a) <= 90 and abs(o) <= 180})
         return {(p[0], q[0]) for i, p in enumerate(ok) for q in ok[i + 1 :] if haversine_m(p[1], p[2], q[1], q[2]) <= radius}
 
-    @pytest.mark.parametrize("strip_points", [5, 40, 10_000])
-    def test_against_brute_force(self, spark, strip_points):
+    @pytest.mark.parametrize("piece_points", [2, 40, 10_000])
+    def test_against_brute_force(self, spark, piece_points):
         rnd = random.Random(3)
         pts = [(f"s{i:03}", 36 + rnd.gauss(0, 0.004), -32 + rnd.gauss(0, 0.01), "", "") for i in range(250)]
         pts += [(f"d{i:03}", 36.0, -32 + i * 0.0002, "", "") for i in range(60)] + [(f"e{i}", 36.0, -32.0, "", "") for i in range(6)]
-        assert self.pairs(spark, pts, 150.0, strip_points=strip_points) == self.brute(pts, 150.0)
+        assert self.pairs(spark, pts, 150.0, piece_points=piece_points) == self.brute(pts, 150.0)
 
     def test_defined_cases(self, spark):
         pts = [("a", 10.0, 179.9999, "", ""), ("b", 10.0, -179.9999, "", ""), ("c", None, 1.0, "", ""), (None, 10.0, 180.0, "", ""), ("d", float("nan"), 0.0, "", ""), ("e", 91.0, 0.0, "", ""), ("a", 10.0, 179.9999, "", "")]
@@ -111,6 +111,44 @@ class TestNearby:
         assert self.pairs(spark, [], 100.0) == set()
         assert self.pairs(spark, [("p", 89.9999, 10.0, "", ""), ("q", 89.9999, -170.0, "", "")], 100.0) == {("p", "q")}
 
+    def test_batches_and_members(self, spark):
+        rnd = random.Random(5)
+        pts = [(f"s{i:03}", 36 + rnd.gauss(0, 0.001), -32 + rnd.gauss(0, 0.001), "", "") for i in range(150)] + [(f"e{i}", 36.0, -32.0, "", "") for i in range(9)]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            assert self.pairs(spark, pts, 150.0, piece_points=4) == self.brute(pts, 150.0)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        pairs, members = places_within(spark.createDataFrame(pts, "k string, la double, lo double, id string, lat string"), "k", "la", "lo", 150.0)
+        of = {}
+        for rep, i in members.collect():
+            of.setdefault(rep, []).append(i)
+        assert len(of["e0"]) == 9 and sum(map(len, of.values())) == len(pts)
+        found = {tuple(sorted((x, y))) for a, b, _ in pairs.collect() for x in of[a] for y in of[b]} | {(x, y) for m in of.values() for x in m for y in m if x < y}
+        assert found == self.brute(pts, 150.0)
+
+    def test_poles_have_each_pair_once(self, spark):
+        pts = [(f"p{i}", 89.9995, i * 30.0 - 175, "", "") for i in range(12)]
+        df = spark.createDataFrame(pts, "k string, la double, lo double, id string, lat string")
+        got = [(r[0], r[1]) for r in points_within(df, "k", "la", "lo", 500.0).collect()]
+        assert sorted(got) == sorted(self.brute(pts, 500.0)) and len(got) == 66
+
+    def test_regions(self, spark):
+        rnd = random.Random(6)
+        polys = {i: [(x + math.cos(t) * s, y + math.sin(t) * s * 0.6) for t in (0.1, 1.0, 2.5, 3.0, 5.0)] for i, (x, y, s) in enumerate((rnd.uniform(-90, 90), rnd.uniform(-90, 90), 2.0 ** rnd.randrange(-3, 7)) for _ in range(40))}
+        polys[98], polys[99] = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)], [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (1.0, 1.0)]
+        pts = [(i, rnd.uniform(-100, 100), rnd.uniform(-100, 100), "c") for i in range(500)] + [(501, 1.0, 0.5, "c"), (502, 0.0, 0.0, "c"), (503, None, 1.0, "c"), (None, 0.5, 0.5, "c"), (504, float("nan"), 0.0, "c"), (0, 1.0, 1.0, "c")]
+
+        def inside(x, y, p):
+            return sum((p[i][1] > y) != (p[i - 1][1] > y) and x < p[i][0] + (y - p[i][1]) * (p[i - 1][0] - p[i][0]) / (p[i - 1][1] - p[i][1]) for i in range(len(p))) % 2 == 1
+
+        regions = spark.createDataFrame([(k, v, 0) for k, v in polys.items()] + [(7, None, 0), (None, polys[98], 0), (8, polys[98][:2], 0)], "r bigint, p array<struct<x:double,y:double>>, x bigint")
+        df = spark.createDataFrame(pts, "k bigint, x double, y double, p string")
+        got = {(a, b) for a, b in points_in_regions(df, "k", "x", "y", regions, "r", "p").collect()}
+        assert got == {(i, k) for i, x, y, _ in pts if i is not None and x is not None and x == x for k, p in polys.items() if inside(x, y, p)}
+        assert (501, 99) in got and (501, 98) not in got
+        assert points_in_regions(df.limit(0), "k", "x", "y", regions, "r", "p").count() == 0 == points_in_regions(df, "k", "x", "y", regions.limit(0), "r", "p").count()
+
     def test_latest_position(self, spark, rows):
         df = spark.sql(
             "select * from values ('a', 1D, 1D, 1), ('a', 2D, 2D, 2), ('b', 1D, 1D, 1), ('b', null, null, 2), ('c', 50D, 1D, null), ('d', 3D, 3D, 1), ('d', 4D, 3D, 1), (null, 1D, 1D, 1) as t(k, la, lo, v)"
