@@ -29,13 +29,15 @@ _WORDS = re.compile(r"[^\W_]+")
 
 #: Bits of each of a name's two codes (of letter pairs, of letters), and the Hamming distance up to which names are found.
 NAME_BITS, NAME_RADIUS = 60, 9
-#: Lengths are coded in steps of this factor; two records without a common name must lie within so many steps.
-LENGTH_STEP, LENGTH_RADIUS = 1.025, 9
+#: Lengths are coded in steps of this factor, as a bit vector of NAME_BITS bits in which a run of half as many ones begins at the step: two codes are two bits
+#: apart for each step between them, so within NAME_RADIUS bits are lengths up to four steps (a quarter) apart.
+LENGTH_STEP = 1.057
 #: Metres that two records of one facility may lie apart beside what their lengths explain.
 SLACK_M = 60.0
-#: Metres of the smallest block; blocks double.
+#: Metres of the smallest block; blocks double. No two places are farther apart than half a turn.
 BLOCK_M = 64.0
 EARTH_M = 6371008.8
+FARTHEST_M = math.pi * EARTH_M
 
 
 @dataclass(frozen=True)
@@ -120,37 +122,60 @@ def _substrings(code: Column, bits: int, radius: int) -> Column:
     return F.array(*parts)
 
 
-def _cells(r: DataFrame, near: bool, scale: float) -> DataFrame:
-    """Keys of the blocks a record may meet another in: as the longer one, its class's block with neighbours; as the shorter one, its own block of each class from its own on."""
-    x, y = F.col("lon") * scale, F.col("lat") * F.lit(math.radians(1) * EARTH_M)
-    reach = F.lit(SLACK_M) + F.coalesce(F.col("metres"), F.lit(0.0)) / 2
-    own = F.greatest(F.lit(0), F.ceil(F.log2(reach / BLOCK_M))).cast("int")
-    r = r.withColumn("class", own if near else F.explode(F.sequence(own, F.lit(_CLASSES - 1))))
-    size = F.lit(BLOCK_M) * F.pow(F.lit(2.0), F.col("class"))
-    r = r.withColumn("bx", F.floor(x / size)).withColumn("by", F.floor(y / size))
-    if near:
-        around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-        r = r.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around))
-        r = r.withColumn("bx", F.col("bx") + F.col("dx")).withColumn("by", F.col("by") + F.col("dy"))
-    return r.withColumn("block", F.xxhash64("class", "bx", "by")).drop("class", "bx", "by", "dx", "dy")
+def _class() -> Column:
+    """The class of blocks that reach as far as a record and its partners may lie apart."""
+    reach = F.least(F.lit(FARTHEST_M), F.lit(SLACK_M) + F.coalesce(F.col("metres"), F.lit(0.0)) / 2)
+    return F.greatest(F.lit(0), F.ceil(F.log2(reach / BLOCK_M))).cast("int")
+
 
+def _blocks(r: DataFrame, around: bool) -> DataFrame:
+    """The block of each row's class that it lies in, or that and its neighbours: `block`.
 
-#: Classes of block sizes: records of up to BLOCK_M * 2 ** (_CLASSES - 1) * 2 metres, a hundred miles.
-_CLASSES = 12
+    Blocks are rows of equal height, each cut into a whole number of columns at least as wide as high where the row (and the next) is narrowest; columns close
+    around the earth. So two places no farther apart than the height are in the same or neighbouring blocks, wherever they lie, and no place
+    changes the blocks of others.
+    """
+    size = F.lit(BLOCK_M) * F.pow(F.lit(2.0), F.col("class"))
+    r = r.withColumn("size", size).withColumn("by", F.floor(F.col("lat") * F.lit(math.radians(1) * EARTH_M) / size))
+    if around:
+        r = r.withColumn("by", F.explode(F.array(*[F.col("by") + i for i in (-1, 0, 1)])))
+    per_degree = F.lit(math.radians(1) * EARTH_M)
+    pole = F.least(F.lit(90.0), F.greatest(F.abs((F.col("by") - 1) * F.col("size")), F.abs((F.col("by") + 2) * F.col("size"))) / per_degree)
+    r = r.withColumn("columns", F.greatest(F.lit(1), F.floor(360 * per_degree * F.cos(F.radians(pole)) / F.col("size"))).cast("bigint"))
+    r = r.withColumn("bx", F.floor((F.col("lon") + 180) / 360 * F.col("columns")))
+    if around:
+        r = r.withColumn("bx", F.explode(F.array(*[F.col("bx") + i for i in (-1, 0, 1)])))
+    return r.withColumn("block", F.xxhash64("role", "class", F.pmod("bx", "columns"), "by")).drop("size", "by", "bx", "columns", "class")
 
 
 def _named(r: DataFrame) -> DataFrame:
-    r = r.where(F.size("codes") > 0).withColumn("code", F.explode("codes"))
-    return r.withColumn("part", F.explode(_substrings(F.col("code"), NAME_BITS, NAME_RADIUS))).select("id", "lon", "lat", "metres", "code", "part")
+    return r.where(F.size("codes") > 0).withColumn("code", F.explode("codes"))
+
+
+def _sized(r: DataFrame) -> DataFrame:
+    """Records with their length as a code, in the smallest blocks."""
+    half, mask = NAME_BITS // 2, (1 << NAME_BITS) - 1
+    r = r.where("metres is not null").withColumn("step", F.pmod(F.floor(F.log("metres") / math.log(LENGTH_STEP)), F.lit(NAME_BITS)).cast("int"))
+    # a run of ones from the step on, around the code
+    return r.withColumn("class", F.lit(0)).withColumn(
+        "code", F.expr(f"(shiftleft({(1 << half) - 1}L, step) & {mask}L) | if(step > {half}, shiftright({(1 << half) - 1}L, {NAME_BITS} - step), 0L)")
+    )
 
 
-def _sized(r: DataFrame, unnamed: bool) -> DataFrame:
-    """Records by length alone; thermometer codes of their lengths would agree in a part exactly where these overlapping windows of steps do."""
-    r = r.where("metres is not null")
-    if unnamed:
-        r = r.where(F.size("codes") == 0)
-    step = F.floor(F.log(F.col("metres")) / math.log(LENGTH_STEP)).cast("bigint")
-    return r.withColumn("step", step).select("id", "lon", "lat", "metres", "step")
+def _asking(r: DataFrame, named: int, unnamed: int) -> DataFrame:
+    """Rows that look around themselves: named records, for shorter ones; records without a name, for records of like length."""
+    one = _named(r).withColumn("class", _class()).withColumn("role", F.lit(named))
+    return _blocks(one.select(*_KEPT).unionByName(_sized(r.where(F.size("codes") == 0)).withColumn("role", F.lit(unnamed)).select(*_KEPT)), True)
+
+
+def _answering(r: DataFrame, named: int, unnamed: int, classes: list[int]) -> DataFrame:
+    """Rows that lie where others look: named records, in the blocks of each class from their own on; all records with a length."""
+    one = _named(r).withColumn("own", _class()).withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes]) if classes else F.expr("array(cast(null as int))")))
+    one = one.where(F.col("class") >= F.col("own")).withColumn("role", F.lit(named))
+    return _blocks(one.select(*_KEPT).unionByName(_sized(r).withColumn("role", F.lit(unnamed)).select(*_KEPT)), False)
+
+
+_KEPT = ["role", "class", "id", "lon", "lat", "metres", "code"]
 
 
 def _metres_apart() -> Column:
@@ -163,31 +188,28 @@ def _side(r: DataFrame, side: str) -> DataFrame:
     return r.select([F.col(c).alias(c if c in ("block", "part", "window") else f"{side}_{c}") for c in r.columns])
 
 
-def candidates(a: DataFrame, b: DataFrame, scale: float) -> DataFrame:
-    """Pairs of close codes near each other: exactly those at most NAME_RADIUS bits apart (or, where a name is missing, LENGTH_RADIUS steps of length),
-    no farther apart than their lengths explain."""
-    found = None
-    apart = _metres_apart()
+def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of close codes near each other: exactly those at most NAME_RADIUS bits apart (of their names or, where a name is missing, of their lengths),
+    no farther apart than their lengths explain.
+
+    A record is only cut into parts where another record looks for its like: rows of a block in which none does are left out before.
+    """
+    classes = sorted({r[0] for x in (a, b) for r in _named(x).select(_class()).distinct().collect()})  # about 20 classes reach around the earth
+    asks = [_asking(a, 0, 2), _asking(b, 1, 3)]
+    answers = [_answering(a, 1, 3, classes), _answering(b, 0, 2, classes)]
+    sides = []
+    for mine, theirs, ask in ((0, 1, asks[0]), (1, 0, asks[1])):
+        wanted = answers[mine].join(asks[theirs].select("block").distinct(), "block", "left_semi")
+        both = ask.unionByName(wanted)
+        sides.append(both.withColumn("part", F.explode(_substrings(F.col("code"), NAME_BITS, NAME_RADIUS))))
+    pairs = _side(sides[0], "a").hint("merge").join(_side(sides[1], "b"), ["block", "part"])
     longer = F.greatest(F.coalesce("a_metres", F.lit(0.0)), F.coalesce("b_metres", F.lit(0.0)))
     shorter = F.least(F.coalesce("a_metres", F.lit(0.0)), F.coalesce("b_metres", F.lit(0.0)))
-    near = apart <= F.lit(SLACK_M) + (longer - shorter) / 2
-    for a_long in (True, False):
-        x, y = _cells(_named(a), a_long, scale), _cells(_named(b), not a_long, scale)
-        pairs = _side(x, "a").hint("merge").join(_side(y, "b"), ["block", "part"])
-        pairs = pairs.where((F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code"))) <= NAME_RADIUS) & near)
-        pairs = pairs.select("a_id", "b_id").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    for a_un, b_un in ((True, False), (False, True)):
-        x, y = _sized(a, a_un).drop("codes"), _sized(b, b_un).drop("codes")
-        flat = lambda r, around: _cells(r.withColumn("real", F.col("metres")).withColumn("metres", F.lit(0.0)), around, scale).withColumn("metres", F.col("real")).drop("real")
-        width = LENGTH_RADIUS + 1
-        x = flat(x, True).withColumn("window", F.explode(F.array(*[F.floor(F.col("step") / width) + i for i in (-1, 0, 1)])))
-        y = flat(y, False).withColumn("window", F.floor(F.col("step") / width))
-        # a place's block is that of the smallest class; the shorter side's other classes meet nothing
-        pairs = _side(x, "a").hint("merge").join(_side(y, "b"), ["block", "window"])
-        pairs = pairs.where((F.abs(F.col("a_step") - F.col("b_step")) <= LENGTH_RADIUS) & (apart <= SLACK_M)).select("a_id", "b_id").distinct()
-        found = found.unionByName(pairs)
-    return found.distinct()
+    near = _metres_apart() <= SLACK_M + F.when(F.col("a_role") < 2, (longer - shorter) / 2).otherwise(0.0)
+    # lengths whose steps are a whole code apart have the same bits
+    alike = (F.col("a_role") < 2) | (shorter * 2 >= longer)
+    close = F.bit_count(F.col("a_code").bitwiseXOR(F.col("b_code"))) <= NAME_RADIUS
+    return pairs.where((F.col("a_role") == F.col("b_role")) & close & alike & near).select("a_id", "b_id").distinct()
 
 
 def scored(pairs: DataFrame, a: DataFrame, b: DataFrame, w: Weights) -> DataFrame:
@@ -254,16 +276,13 @@ def match_records(a: DataFrame, b: DataFrame, weights: Weights = Weights()) -> D
     divides matches from others; empty tables give an empty result.
 
     Method: letter pairs of names become bit vectors of NAME_BITS bits. Multi-index hashing cuts them into NAME_RADIUS + 1 parts, so that all pairs within
-    NAME_RADIUS bits agree in a part and are found exactly by an equality join on block and part; where a name is missing the length's steps serve
-    in the same way. Blocks come in classes of doubling size by the length of the longer record. Field similarities are Dice
+    NAME_RADIUS bits agree in a part and are found exactly by an equality join on block and part; where a name is missing the code of the length
+    serves in the same way. Blocks come in classes of doubling size by the length of the longer record. Field similarities are Dice
     coefficients (of bits and letter pairs) and shares of length, weighted; the score's distribution over all candidates calibrates the confidence.
     """
     # the records are read by eight branches, the scores by two: both are written once
     a, b = cut(a), cut(b)
-    most = a.select(F.abs("lat").alias("l")).unionByName(b.select(F.abs("lat").alias("l"))).agg(F.max("l")).first()[0]
-    # east-west metres at the highest latitude: never more than the real ones, so no pair is farther apart in blocks
-    scale = math.radians(1) * EARTH_M * math.cos(math.radians(most or 0.0))
-    rows = cut(scored(candidates(a, b, scale), a, b, weights))
+    rows = cut(scored(candidates(a, b), a, b, weights))
     histogram = rows.groupBy(F.round(F.col("score") * 200).cast("int").alias("bin")).count().toPandas()  # at most 201 rows
     slope = calibrate(histogram["bin"].to_numpy(float) / 200, histogram["count"].to_numpy(float), weights.even)
     return rows.withColumn("confidence", 1 / (1 + F.exp(-(F.col("score") - weights.even) * slope)))

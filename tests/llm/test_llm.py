@@ -1,5 +1,6 @@
 """Runs, matching, tokens, leaks and subjects: defined cases, hand-made ones, brute force, round trips and held-out labels."""
 
+import math
 import os
 import random
 
@@ -355,9 +356,82 @@ class TestMatching:
         codes = [base ^ sum(1 << i for i in rnd.sample(range(matching.NAME_BITS), rnd.randrange(0, 16))) for _ in range(60)]
         schema = "id bigint, lon double, lat double, metres double, codes array<bigint>, letters array<bigint>, kinds array<string>, classes array<string>"
         make = lambda o: spark.createDataFrame([(i + o, 0.0, 40.0, 100.0, [c], [0], [""], ["x"]) for i, c in enumerate(codes)], schema)
-        got = {(r[0], r[1] - 1000) for r in matching.candidates(make(0), make(1000), 85_000.0).collect()}
+        got = {(r[0], r[1] - 1000) for r in matching.candidates(make(0), make(1000)).collect()}
         assert got == {(i, j) for i, c in enumerate(codes) for j, d in enumerate(codes) if (c ^ d).bit_count() <= matching.NAME_RADIUS}
 
+    def records(self, spark, rows, o=0):
+        schema = "id bigint, lon double, lat double, metres double, codes array<bigint>, letters array<bigint>, kinds array<string>, classes array<string>"
+        return spark.createDataFrame([(i + o, lon, lat, m, [matching.name_code(n)] if n else [], [matching.letter_code(n)] if n else [], [""] if n else [], ["path"]) for i, (lon, lat, m, n) in enumerate(rows)], schema)
+
+    def test_length_codes(self, spark):
+        """Codes of lengths are two bits apart for each step between them."""
+        df = self.records(spark, [(0.0, 0.0, 1.057 ** (k + 0.5), None) for k in range(0, 140)])
+        got = {r["id"]: r["code"] for r in matching._sized(df).select("id", "code").collect()}
+        for i in range(140):
+            for j in range(i, min(140, i + 31)):
+                assert (got[i] ^ got[j]).bit_count() == 2 * (j - i)
+
+    def test_recall_of_candidates_against_brute_force(self, spark):
+        """All pairs that the rule of nearness allows are found, at the antimeridian, near the pole and across sizes alike."""
+        rnd = random.Random(17)
+        rows = []
+        for lon, lat in ((0.0, 40.0), (179.9995, -20.0), (-179.9995, -20.0), (10.0, 88.9), (-60.0, 0.0)):
+            for _ in range(60):
+                rows.append((((lon + rnd.gauss(0, 0.004) + 540) % 360) - 180, lat + rnd.gauss(0, 0.003), 10 ** rnd.uniform(1, 5.9), rnd.choice(["oskel", "oskle", "velda", None])))
+        rows.append((20.0, 89.0, 1e9, "oskel"))
+        half = len(rows) // 2
+        rnd.shuffle(rows)
+        a, b = rows[:half], rows[half:]
+
+        def apart(p, q):
+            x, y = math.radians(p[1]), math.radians(q[1])
+            h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(q[0] - p[0]) / 2) ** 2
+            return 2 * matching.EARTH_M * math.asin(math.sqrt(min(1, h)))
+
+        step = lambda m: math.floor(math.log(m) / math.log(matching.LENGTH_STEP))
+        want = set()
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                d = apart(p, q)
+                named = p[3] and q[3] and (matching.name_code(p[3]) ^ matching.name_code(q[3])).bit_count() <= matching.NAME_RADIUS and d <= 60 + abs(p[2] - q[2]) / 2
+                sized = not (p[3] and q[3]) and abs(step(p[2]) - step(q[2])) <= 4 and d <= 60
+                if named or sized:
+                    want.add((i, j + 1000))
+        got = set(map(tuple, matching.candidates(self.records(spark, a), self.records(spark, b, 1000)).collect()))
+        assert got == want and len(want) > 300
+
+    def test_one_record_at_the_pole_changes_nothing(self, spark):
+        rnd = random.Random(18)
+        rows = [(rnd.gauss(0, 0.01), 40 + rnd.gauss(0, 0.01), rnd.uniform(100, 900), rnd.choice(["oskel", "velda", "brorow"])) for _ in range(150)]
+        one = matching.candidates(self.records(spark, rows[:70]), self.records(spark, rows[70:], 1000))
+        two = matching.candidates(self.records(spark, rows[:70]), self.records(spark, [*rows[70:], (0.0, 89.0, 500.0, "oskel")], 1000))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+    def test_confidence_is_what_it_says(self, spark):
+        """Of planted pairs: matches with noise in each field, and others; in each band of confidence about so many are matches as it says."""
+        rnd = random.Random(19)
+        syllables = [c + v for c in "bdfgklmnprst" for v in "aeiou"]
+        a, b, truth = [], [], set()
+        for i in range(500):
+            name = "".join(rnd.choice(syllables) for _ in range(3))
+            lon, lat, feet = rnd.uniform(-0.05, 0.05), 40 + rnd.uniform(-0.05, 0.05), rnd.uniform(400, 3000)
+            a.append((i, f"{name} Road", "bike lane", lon, lat, feet))
+            if rnd.random() < 0.7:
+                k = rnd.randrange(len(name) - 1)
+                spelt = name if rnd.random() < 0.7 else name[:k] + name[k + 1] + name[k] + name[k + 2 :]
+                b.append((1000 + i, f"{spelt} Rd" if rnd.random() < 0.8 else spelt, None, rnd.choice(["bike lane"] * 3 + ["sharrow"]), None, lon + rnd.gauss(0, 1e-4), lat + rnd.gauss(0, 1e-4), feet * rnd.uniform(0.9, 1.1)))
+                truth.add((i, 1000 + i))
+            else:  # another street close by, of a like name or of the same name and another kind
+                other = name[:-2] + rnd.choice(syllables)
+                b.append((1000 + i, f"{other} Road" if rnd.random() < 0.5 else f"{name} Lane", None, "sharrow", None, lon + 5e-4, lat, feet * rnd.uniform(0.3, 3)))
+        x = matching.encode_records(spark.createDataFrame(a, self.A), "id", ["name"], ["kind"], "lon", "lat", "feet", 0.3048)
+        y = matching.encode_records(spark.createDataFrame(b, self.B), "id", ["n1", "n2"], ["k1", "k2"], "lon", "lat", "feet", 0.3048)
+        got = [(r["confidence"], (r["a_id"], r["b_id"]) in truth) for r in matching.match_records(x, y).collect()]
+        assert sum(hit for c, hit in got if c >= 0.5) >= 0.95 * len(truth)
+        for low, high in ((0.0, 0.2), (0.8, 1.01)):
+            band = [(c, hit) for c, hit in got if low <= c < high]
+            assert len(band) >= 30 and abs(sum(c for c, _ in band) / len(band) - sum(hit for _, hit in band) / len(band)) < 0.1
+
     def test_names(self):
         assert matching.name_parts("Conn, N. Urvora - Phase I") == ("urvora", "connector")
         assert matching.name_parts("Oskinam Green Way") == ("oskinam", "greenway")
