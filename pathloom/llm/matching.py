@@ -34,8 +34,8 @@ NAME_BITS, NAME_RADIUS = 60, 9
 LENGTH_STEP = 1.057
 #: Metres that two records of one facility may lie apart beside what their lengths explain.
 SLACK_M = 60.0
-#: Metres of the smallest block; blocks double. No two places are farther apart than half a turn.
-BLOCK_M = 64.0
+#: Metres of the smallest block, not less than twice SLACK_M; blocks double. No two places are farther apart than half a turn.
+BLOCK_M = 128.0
 EARTH_M = 6371008.8
 FARTHEST_M = math.pi * EARTH_M
 
@@ -122,30 +122,39 @@ def _substrings(code: Column, bits: int, radius: int) -> Column:
     return F.array(*parts)
 
 
+def _reach() -> Column:
+    """Metres that a record and a shorter partner may lie apart at most."""
+    return F.least(F.lit(FARTHEST_M / 2), F.lit(SLACK_M) + F.coalesce(F.col("metres"), F.lit(0.0)) / 2)
+
+
 def _class() -> Column:
-    """The class of blocks that reach as far as a record and its partners may lie apart."""
-    reach = F.least(F.lit(FARTHEST_M), F.lit(SLACK_M) + F.coalesce(F.col("metres"), F.lit(0.0)) / 2)
-    return F.greatest(F.lit(0), F.ceil(F.log2(reach / BLOCK_M))).cast("int")
+    """The class of blocks at least twice as high as a record's reach."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(2 * _reach() / BLOCK_M))).cast("int")
 
 
 def _blocks(r: DataFrame, around: bool) -> DataFrame:
-    """The block of each row's class that it lies in, or that and its neighbours: `block`.
+    """The block of each row's class that it lies in or, looking around, those that its reach touches (as a rule two to four): `block`.
 
     Blocks are rows of equal height, each cut into a whole number of columns at least as wide as high where the row (and the next) is narrowest; columns close
-    around the earth. So two places no farther apart than the height are in the same or neighbouring blocks, wherever they lie, and no place
+    around the earth. What is touched follows from the sphere, so no pair within reach is missed wherever it lies, and no place
     changes the blocks of others.
     """
-    size = F.lit(BLOCK_M) * F.pow(F.lit(2.0), F.col("class"))
-    r = r.withColumn("size", size).withColumn("by", F.floor(F.col("lat") * F.lit(math.radians(1) * EARTH_M) / size))
-    if around:
-        r = r.withColumn("by", F.explode(F.array(*[F.col("by") + i for i in (-1, 0, 1)])))
     per_degree = F.lit(math.radians(1) * EARTH_M)
+    r = r.withColumn("size", F.lit(BLOCK_M) * F.pow(F.lit(2.0), F.col("class")))
+    row = lambda metres: F.floor(metres / F.col("size")).cast("bigint")
+    y = F.col("lat") * per_degree
+    r = r.withColumn("by", F.explode(F.sequence(row(y - F.col("reach")), row(y + F.col("reach")))) if around else row(y))
     pole = F.least(F.lit(90.0), F.greatest(F.abs((F.col("by") - 1) * F.col("size")), F.abs((F.col("by") + 2) * F.col("size"))) / per_degree)
-    r = r.withColumn("columns", F.greatest(F.lit(1), F.floor(360 * per_degree * F.cos(F.radians(pole)) / F.col("size"))).cast("bigint"))
-    r = r.withColumn("bx", F.floor((F.col("lon") + 180) / 360 * F.col("columns")))
+    r = r.withColumn("narrow", F.cos(F.radians(pole)))
+    r = r.withColumn("columns", F.greatest(F.lit(1), F.floor(360 * per_degree * F.col("narrow") / F.col("size"))).cast("bigint"))
+    column = lambda lon: F.floor((lon + 180) / 360 * F.col("columns")).cast("bigint")
     if around:
-        r = r.withColumn("bx", F.explode(F.array(*[F.col("bx") + i for i in (-1, 0, 1)])))
-    return r.withColumn("block", F.xxhash64("role", "class", F.pmod("bx", "columns"), "by")).drop("size", "by", "bx", "columns", "class")
+        turn = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.col("reach") / (2 * EARTH_M)) / F.col("narrow")))) * (1 + 1e-9)
+        r = r.withColumn("turn", F.coalesce(F.least(F.lit(180.0), turn), F.lit(180.0)))
+        r = r.withColumn("bx", F.explode(F.sequence(column(F.col("lon") - F.col("turn")), column(F.col("lon") + F.col("turn"))))).drop("turn")
+    else:
+        r = r.withColumn("bx", column(F.col("lon")))
+    return r.withColumn("block", F.xxhash64("role", "class", F.pmod("bx", "columns"), "by")).drop("size", "by", "bx", "columns", "narrow", "class", *(["reach"] if around else []))
 
 
 def _named(r: DataFrame) -> DataFrame:
@@ -163,9 +172,10 @@ def _sized(r: DataFrame) -> DataFrame:
 
 
 def _asking(r: DataFrame, named: int, unnamed: int) -> DataFrame:
-    """Rows that look around themselves: named records, for shorter ones; records without a name, for records of like length."""
-    one = _named(r).withColumn("class", _class()).withColumn("role", F.lit(named))
-    return _blocks(one.select(*_KEPT).unionByName(_sized(r.where(F.size("codes") == 0)).withColumn("role", F.lit(unnamed)).select(*_KEPT)), True)
+    """Rows that look around themselves, as far as they reach: named records, for shorter ones; records without a name, for records of like length."""
+    one = _named(r).withColumn("class", _class()).withColumn("role", F.lit(named)).withColumn("reach", _reach())
+    other = _sized(r.where(F.size("codes") == 0)).withColumn("role", F.lit(unnamed)).withColumn("reach", F.lit(SLACK_M))
+    return _blocks(one.select(*_KEPT, "reach").unionByName(other.select(*_KEPT, "reach")), True)
 
 
 def _answering(r: DataFrame, named: int, unnamed: int, classes: list[int]) -> DataFrame:
