@@ -92,6 +92,8 @@ SUFFIXES = {
     "avenue": "ave", "boulevard": "blvd", "circle": "cir", "court": "ct", "drive": "dr", "highway": "hwy", "lane": "ln", "parkway": "pkwy", "place": "pl", "road": "rd", "square": "sq",
     "street": "st", "terrace": "ter", "trail": "trl", "way": "way",
 }
+#: Further words that only expand_name writes out.
+ALSO_EXPANDED = {"cres": "crescent", "pk": "pike", "expwy": "expressway", "rdg": "ridge", "blf": "bluff", "fwy": "freeway", "plz": "plaza", "grn": "green", "cyn": "canyon", "pt": "pointe"}
 DIRECTIONS = {"north": "n", "south": "s", "east": "e", "west": "w", "northeast": "ne", "northwest": "nw", "southeast": "se", "southwest": "sw"}
 
 
@@ -112,7 +114,7 @@ def contract_suffix(name: Column) -> Column:
 
 def expand_name(name: Column) -> Column:
     """The opposite: abbreviations of suffixes and directions written out."""
-    full = {v: k for k, v in {**SUFFIXES, **DIRECTIONS}.items()}
+    full = {v: k for k, v in {**SUFFIXES, **DIRECTIONS}.items()} | ALSO_EXPANDED
     return F.array_join(_recode(_tokens(name), full), " ")
 
 

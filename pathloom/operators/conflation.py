@@ -9,7 +9,7 @@ from pathloom.common import cut
 from pathloom.functions.geometry import name_ratio_pandas
 from pathloom.operators.network import components
 from pathloom.operators.routing import relax, starts_of
-from pathloom.operators.spatial import covered_share, distance_join, near_segments, nearest, point_to_segment
+from pathloom.operators.spatial import beyond, covered_share, distance_join, near_segments, nearest, point_to_segment
 
 
 def study_area(corners: DataFrame, polygon: str, order: str, x: str, y: str, per_mile: float = 5280.0) -> DataFrame:
@@ -124,3 +124,18 @@ def touching(traces: DataFrame, trip: str, order: str, x: float, y: float, radiu
     seg = traces.select(trip, F.col("x").alias("ax"), F.col("y").alias("ay"), F.coalesce(F.lead("x").over(w), F.col("x")).alias("bx"), F.coalesce(F.lead("y").over(w), F.col("y")).alias("by"))
     near = point_to_segment(F.lit(x), F.lit(y), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= radius
     return seg.groupBy(trip).agg(F.bool_or(near).alias("_t")).where("_t").select(trip)
+
+
+def side_path_swapped(pairs: DataFrame, attributes: DataFrame, facility: str, numbers: list[str]) -> DataFrame:
+    """Roads with a side path (linkid, path_id): the facility is the path's, or the road's own where it has none; the numbers are the greater of both, which the path takes."""
+    road = attributes.select("linkid", F.col(facility).alias("_f"), *[F.col(n).alias(f"_{n}") for n in numbers])
+    path = attributes.select(F.col("linkid").alias("path_id"), facility, *numbers)
+    both = pairs.join(road, "linkid").join(path, "path_id")
+    return both.select("linkid", "path_id", F.coalesce(facility, "_f").alias(facility), *[F.greatest(n, f"_{n}").alias(n) for n in numbers])
+
+
+def missing_links(points: DataFrame, key: str, network: DataFrame, far: float, raw: DataFrame, near: float) -> DataFrame:
+    """Points farther than `far` from everything in the network but within `near` of the raw map (points qx, qy of both): where links may be missing."""
+    left = beyond(points, network, far, ("x", "y"), ("qx", "qy"), key)
+    hit = distance_join(left, raw, near).select(key).distinct()
+    return left.join(hit, key, "left_semi")

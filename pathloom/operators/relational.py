@@ -112,6 +112,18 @@ def interval_of(rows: DataFrame, keys: Sequence[str], column: str, low: float =
     return out.select(*keys, "mean", "sd", F.col("_p")[0].alias("median"), F.col("_p")[1].alias("low"), F.col("_p")[2].alias("high"))
 
 
+def dissolve(rows: DataFrame, keys: Sequence[str], line: str, sums: dict[str, Column]) -> DataFrame:
+    """Per key the number of parts of its multi-part geometry and sums over all: keys, n, the sums. The parts themselves come from dissolved_parts."""
+    return rows.groupBy(*keys).agg(F.count(line).alias("n"), *[c.alias(k) for k, c in sums.items()])
+
+
+def dissolved_parts(rows: DataFrame, keys: Sequence[str], line: str, piece: int = 10_000) -> DataFrame:
+    """The multi-part geometries of dissolve: keys, piece, parts (array of lines). A key with very many lines has several pieces, so no row grows without bound."""
+    spread = rows.where(F.col(line).isNotNull()).withColumn("_h", F.xxhash64(line))
+    n = spread.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / piece).alias("_n"))
+    return spread.join(n, list(keys)).groupBy(*keys, F.pmod("_h", "_n").alias("piece")).agg(F.collect_list(line).alias("parts"))
+
+
 # --- samples: by hashes, so that they are the same whatever the partitions -----------------------------------
 
 

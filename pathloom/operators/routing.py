@@ -146,18 +146,20 @@ def search(starts: DataFrame, turns: DataFrame, cutoff: float | None = None, sma
 def routes(starts: DataFrame, turns: DataFrame, edges: DataFrame, ods: DataFrame, small: int = SMALL_GRAPH) -> DataFrame:
     """Least-cost routes: (candidate,) origin, dest, d, edges (array of linkid and reverse_link in order). Unconnected pairs are left out; a pair to itself has no edges and costs 0.
 
-    Starts and turns may have a `candidate`, a number of a variant of costs: all variants are routed in one job. Small graphs go to every task; with others, of one
+    Starts and turns may have a `candidate`, a number of a variant of costs (a set of coefficients, a year): all variants are routed in one job, each for all
+    pairs or, if the pairs have a `candidate` too, for its own. Small graphs go to every task; with others, of one
     variant, frontiers are relaxed and walked back by joins.
     """
     varied = "candidate" in turns.columns
     starts, turns = _with_candidate(starts), _with_candidate(turns)
     graph = _small_graph(starts, turns, small)
-    pairs = ods.select("origin", "dest").distinct()
+    own = ["candidate"] if varied and "candidate" in ods.columns else []
+    pairs = ods.select(*own, "origin", "dest").distinct()
     if graph is None and varied:
         # too many turns for one graph of all variants: one after the other, as many as the caller made
         parts = None
         for (i,) in starts.select("candidate").distinct().orderBy("candidate").collect():
-            one = routes(starts.where(F.col("candidate") == i).drop("candidate"), turns.where(F.col("candidate") == i).drop("candidate"), edges, ods, small).withColumn("candidate", F.lit(i))
+            one = routes(starts.where(F.col("candidate") == i).drop("candidate"), turns.where(F.col("candidate") == i).drop("candidate"), edges, (ods.where(F.col("candidate") == i) if own else ods).select("origin", "dest"), small).withColumn("candidate", F.lit(i))
             parts = one if parts is None else parts.unionByName(one)
         return parts.select("candidate", "origin", "dest", "d", "edges")
     if graph is None:
@@ -169,7 +171,7 @@ def routes(starts: DataFrame, turns: DataFrame, edges: DataFrame, ods: DataFrame
         return last.join(packed, ["origin", "dest"], "left").select("origin", "dest", "d", e.alias("edges"))
     # the links that enter each destination, as many as its streets
     ends = edges.select(F.col("B").alias("dest"), "linkid", "reverse_link").join(pairs.select("dest").distinct(), "dest").groupBy("dest").agg(F.collect_list(F.struct("linkid", "reverse_link")).alias("ends"))
-    wanted = pairs.join(ends, "dest").groupBy("origin").agg(F.collect_list(F.struct("dest", "ends")).alias("to"))
+    wanted = pairs.join(ends, "dest").groupBy(*own, "origin").agg(F.collect_list(F.struct("dest", "ends")).alias("to"))
     first = starts.groupBy("candidate", "origin").agg(F.collect_list(F.struct("linkid", "reverse_link", "d")).alias("s"))
     kinds = starts.schema["origin"].dataType.simpleString(), ods.schema["dest"].dataType.simpleString()
 
@@ -199,7 +201,7 @@ def routes(starts: DataFrame, turns: DataFrame, edges: DataFrame, ods: DataFrame
                     yield pd.DataFrame(out, columns=["candidate", "origin", "dest", "d", "edges"])
 
     schema = f"candidate int, origin {kinds[0]}, dest {kinds[1]}, d double, edges array<struct<linkid:bigint,reverse_link:boolean>>"
-    found = first.join(wanted, "origin").repartition("candidate", "origin").mapInPandas(run, schema)
+    found = first.join(wanted, [*own, "origin"]).repartition("candidate", "origin").mapInPandas(run, schema)
     return found if varied else found.drop("candidate")
 
 

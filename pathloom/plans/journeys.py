@@ -140,12 +140,71 @@ def street_routes(spark: SparkSession, sf_dir: str, population: list[list[I.Term
     return P.routes(starts, priced, edges, ods)
 
 
+#: The street network of street_network in SQL: edges with their cost, priced turns, pairs.
+_STREETS = """e as (select linkid, reverse_link, min(A) as A, min(B) as B, min(travel_time_min) as base_min, max((coalesce(link_type = 'road', false))::int) as is_road, max((facility_fwd is not null)::int) as has_facility{year}
+    from {{links}} where removed_at is null and A is not null and B is not null and travel_time_min is not null group by 1, 2),
+  t as (select source_linkid, source_reverse_link, target_linkid, target_reverse_link, max(left_turn) as left_turn, max(coalesce(signalized, false)::int) as signalized from {{turns_df}}
+    where source_linkid is not null and target_linkid is not null group by 1, 2, 3, 4)"""
+
+_COST = "round_even(base_min * (1 + 0.5 * is_road - 0.3 * has_facility), 8)"
+
+
+@query(
+    "with recursive "
+    + _STREETS.format(year="")
+    + f""", c as (select *, {_COST} as cost from e), p as (select t.*, c.cost + round_even(0.15 * left_turn + 0.1 * signalized, 8) as total from t join c on c.linkid = t.target_linkid and c.reverse_link = t.target_reverse_link),
+    od as (select distinct orig_N as origin, dest_N as dest from {{od_matrix}} where orig_N is not null and dest_N is not null),
+    r(origin, linkid, reverse_link, d) using key (origin, linkid, reverse_link) as (select o.origin, linkid, reverse_link, cost from (select distinct origin from od) o join c on c.A = o.origin
+      union select n.origin, n.linkid, n.reverse_link, n.d from (select r.origin, p.target_linkid as linkid, p.target_reverse_link as reverse_link, min(r.d + p.total) as d from r join p on p.source_linkid = r.linkid and p.source_reverse_link = r.reverse_link group by 1, 2, 3) n
+      left join recurring.r q on q.origin = n.origin and q.linkid = n.linkid and q.reverse_link = n.reverse_link where q.d is null or n.d < q.d - 1e-12)
+    select od.origin as origin, od.dest as dest, round(case when od.origin = od.dest then 0 else min(r.d) end + 1e-9, 5) as cost from od join c on c.B = od.dest join r on r.origin = od.origin and r.linkid = c.linkid and r.reverse_link = c.reverse_link group by 1, 2"""
+)
+def od_route_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least impedance of every pair of the OD matrix on the street network; the routes themselves are od_routes."""
+    return street_routes(spark, sf_dir, [STREETS]).select("origin", "dest", F.round(F.col("d") + 1e-9, 5).alias("cost"))
+
+
 @query()
 def od_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-impedance routes of the OD matrix on the street network: cost and number of links."""
     return street_routes(spark, sf_dir, [STREETS]).select("origin", "dest", F.round("d", 6).alias("cost"), F.size("edges").alias("links"))
 
 
+def routes_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of all pairs on the network of their own year: facilities built later are not there yet, off-street links of later years are closed, and pairs that only they connect have no route. year, origin, dest, d, edges."""
+    edges, turns, _ = street_network(spark, sf_dir)
+    built = table(spark, sf_dir, "links").where("removed_at is null").groupBy("linkid", "reverse_link").agg(F.max("year").alias("built"))
+    edges = edges.join(built, ["linkid", "reverse_link"], "left").withColumn("off_street", 1 - F.col("is_road"))
+    asked = table(spark, sf_dir, "od_matrix").where("orig_N is not null and dest_N is not null and built_at is not null")
+    ods = asked.select(F.year("built_at").alias("candidate"), F.col("orig_N").alias("origin"), F.col("dest_N").alias("dest")).distinct()
+    years = ods.select(F.col("candidate").alias("network_year")).distinct()
+    then = I.year_networks(edges, years, "built", ["has_facility"], ["off_street"])
+    priced = then.withColumn("c", F.when(F.col("blocked"), I.BLOCKED).otherwise(I.link_cost(STREETS, F.col("base_min")))).withColumn("candidate", F.col("network_year"))
+    first = ods.select("candidate", "origin").distinct().join(priced, (F.col("A") == F.col("origin")) & (priced["candidate"] == ods["candidate"]))
+    starts = first.select(priced["candidate"], "origin", "linkid", "reverse_link", F.col("c").alias("d"))
+    target = priced.select("candidate", F.col("linkid").alias("target_linkid"), F.col("reverse_link").alias("target_reverse_link"), "c")
+    costs = turns.withColumn("turn_cost", I.turn_cost(STREETS)).join(target, ["target_linkid", "target_reverse_link"]).withColumn("total_cost", F.col("c") + F.col("turn_cost"))
+    return P.routes(starts, costs, edges, ods).where(F.col("d") < I.BLOCKED).withColumnRenamed("candidate", "year")
+
+
+@query(
+    "with recursive "
+    + _STREETS.format(year=", max(year) as built")
+    + f""", od as (select distinct cast(year(built_at) as integer) as year, orig_N as origin, dest_N as dest from {{od_matrix}} where orig_N is not null and dest_N is not null and built_at is not null),
+    c as (select y.year as year, linkid, reverse_link, A, B, case when coalesce(built > y.year, false) and is_road = 0 then 9e9 else {_COST.replace("has_facility", "case when coalesce(built > y.year, false) then 0 else has_facility end")} end as cost
+      from e, (select distinct year from od) y),
+    p as (select c.year, t.*, c.cost + round_even(0.15 * left_turn + 0.1 * signalized, 8) as total from t join c on c.linkid = t.target_linkid and c.reverse_link = t.target_reverse_link),
+    r(year, origin, linkid, reverse_link, d) using key (year, origin, linkid, reverse_link) as (select o.year, o.origin, linkid, reverse_link, cost from (select distinct year, origin from od) o join c on c.A = o.origin and c.year = o.year
+      union select n.year, n.origin, n.linkid, n.reverse_link, n.d from (select r.year, r.origin, p.target_linkid as linkid, p.target_reverse_link as reverse_link, min(r.d + p.total) as d from r join p on p.year = r.year and p.source_linkid = r.linkid and p.source_reverse_link = r.reverse_link group by 1, 2, 3, 4) n
+      left join recurring.r q on q.year = n.year and q.origin = n.origin and q.linkid = n.linkid and q.reverse_link = n.reverse_link where q.d is null or n.d < q.d - 1e-12)
+    select od.year as year, od.origin as origin, od.dest as dest, round(case when od.origin = od.dest then 0 else min(r.d) end + 1e-9, 5) as cost from od join c on c.B = od.dest and c.year = od.year
+    join r on r.year = od.year and r.origin = od.origin and r.linkid = c.linkid and r.reverse_link = c.reverse_link group by 1, 2, 3 having min(r.d) < 9e9 or od.origin = od.dest"""
+)
+def od_costs_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least impedance of each pair on the network of the year it is asked for."""
+    return routes_by_year(spark, sf_dir).select("year", "origin", "dest", F.round(F.col("d") + 1e-9, 5).alias("cost"))
+
+
 @query()
 def pso_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A coefficient found again from routes made with known ones: the trace of the best loss. Each round's swarm is priced and routed in one job."""
