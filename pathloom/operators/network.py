@@ -97,6 +97,8 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
         if new == state:
             break
         state = new
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return lone.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -113,12 +115,17 @@ def within_component(links: DataFrame, nodes: DataFrame, a: str = "A") -> DataFr
     return links.join(nodes.select(F.col("node").alias(a)), a, "left_semi").select(*links.columns)
 
 
+def ranges(n: int, of: int = 1_000_000) -> int:
+    """Into how many parts n rows are divided to be numbered: 64, or a multiple of it from 64 million rows on."""
+    return 64 * max(1, -(-n // (64 * of)))
+
+
 def halves(links: DataFrame, first_node: int, first_link: int) -> DataFrame:
     """Each link cut at the middle into two straight ones with new node and link ids: linkid, source_linkid, A, B, ax, ay, bx, by, length_ft.
 
     New ids follow from the order of link ids (dense per range, without gathering the links in one task).
     """
-    d = links.withColumn("_p", F.pmod(F.col("linkid"), F.lit(64)))
+    d = links.withColumn("_p", F.pmod(F.col("linkid"), F.lit(ranges(links.count()))))
     counts = d.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     k = d.join(F.broadcast(counts.select("_p", "_before")), "_p").withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy("linkid")) + F.col("_before") - 1)
     mx, my, m = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2, F.lit(first_node) + F.col("_k")

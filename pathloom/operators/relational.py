@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathloom.operators.network import ranges
+
 
 def funnel(rows: DataFrame, stages: Sequence[tuple[str, Column]], measures: dict[str, Column]) -> DataFrame:
     """Measures after each of a series of filters, each on top of those before it: stage_no, stage and a column per measure. One pass over the rows."""
@@ -139,7 +141,7 @@ def folds(rows: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
 def equal_folds(keys: DataFrame, key: str, k: int, order: Column) -> DataFrame:
     """Distinct keys in folds of sizes that differ by one at most. Ranks are made per range of the order, so no task holds all keys."""
     d = keys.select(key).distinct().withColumn("_o", order)
-    parts = d.withColumn("_p", F.pmod(F.col("_o"), F.lit(64)))
+    parts = d.withColumn("_p", F.pmod(F.col("_o"), F.lit(ranges(d.count()))))
     counts = parts.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = parts.join(F.broadcast(counts.select("_p", "_before")), "_p").withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("_o", key)) + F.col("_before") - 1)
     return ranked.select(key, F.pmod("_r", F.lit(k)).cast("int").alias("fold"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathloom.common import cut
+from pathloom.common import cut, written
 
 #: Turns up to which the graph is given to every task (about 40 bytes each); beyond, frontiers are relaxed by joins.
 SMALL_GRAPH = 2_000_000
@@ -25,14 +25,14 @@ def relax(starts: DataFrame, turns: DataFrame, cutoff: float | None = None, most
     """Least cost of every directed link reached from each origin: origin, linkid, reverse_link, d, and the link before it (p_linkid, p_reverse_link; null at the start).
 
     Rounds of joins: the states improved last are joined with the turns, the best candidate per state is kept (ties: the smallest link before), and those that
-    improve a state are the next frontier. Each round's table is written to the shared folder. With a cutoff no state beyond it is kept.
+    improve a state are the next frontier. Each round's table is written to the shared folder in place of the last one's. With a cutoff no state beyond it is kept.
     Costs must not be negative (priced_turns sees to it).
     """
     state = ["origin", "linkid", "reverse_link"]
     first = starts.groupBy(*state).agg(F.min("d").alias("d")).withColumn("p_linkid", F.lit(None).cast("bigint")).withColumn("p_reverse_link", F.lit(None).cast("boolean"))
     if cutoff is not None:
         first = first.where(F.col("d") <= cutoff)
-    best = cut(first.withColumn("fresh", F.lit(True)))
+    best = written(first.withColumn("fresh", F.lit(True)))
     t = turns.select(
         F.col("source_linkid").alias("linkid"), F.col("source_reverse_link").alias("reverse_link"), F.col("target_linkid").alias("t_linkid"), F.col("target_reverse_link").alias("t_reverse_link"), F.col("total_cost"),
     )
@@ -43,12 +43,14 @@ def relax(starts: DataFrame, turns: DataFrame, cutoff: float | None = None, most
             step = step.where(F.col("d") <= cutoff)
         # old states and candidates meet in one aggregation; a candidate wins only if it is better
         both = best.select(*state, "d", "p_linkid", "p_reverse_link", F.lit(0).alias("new")).unionByName(step.withColumn("new", F.lit(1)))
-        best = cut(
+        best = written(
             both.groupBy(*state).agg(F.min(F.struct("d", "new", "p_linkid", "p_reverse_link")).alias("b"))
-            .select(*state, F.col("b.d").alias("d"), F.col("b.p_linkid").alias("p_linkid"), F.col("b.p_reverse_link").alias("p_reverse_link"), (F.col("b.new") == 1).alias("fresh"))
+            .select(*state, F.col("b.d").alias("d"), F.col("b.p_linkid").alias("p_linkid"), F.col("b.p_reverse_link").alias("p_reverse_link"), (F.col("b.new") == 1).alias("fresh")), best,
         )
         if best.where("fresh").isEmpty():
             break
+    else:
+        raise RuntimeError(f"routes still improved after {most_rounds} rounds")
     return best.drop("fresh")
 
 
@@ -242,6 +244,8 @@ def route_edges(reached: DataFrame, last: DataFrame, most_rounds: int = 10_000)
         )
         if now.isEmpty():
             break
+    else:
+        raise RuntimeError(f"routes were not walked back in {most_rounds} rounds")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathloom.common import cut
+
 
 def _cell(df: DataFrame, x: str, y: str, size: Column | float, ring: int = 0) -> DataFrame:
     size = F.lit(float(size)) if not isinstance(size, Column) else size
@@ -35,7 +37,7 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, xy: tu
     """For every point the nearest target and the distance; ties take the smallest target. Points without a position, and all if there are no targets, have none.
 
     Rings of grid cells: a point that finds a target within the width of a cell in its own and the neighbouring cells has its nearest. The others go on with cells
-    eight times as wide, until none is left; the cell starts at what spreads the targets at about two to a cell.
+    eight times as wide, until none is left; the cell starts at what spreads the targets at about two to a cell. Each ring is written, none is computed twice.
     """
     n, w, e, s, t = targets.agg(F.count(txy[0]), F.min(txy[0]), F.max(txy[0]), F.min(txy[1]), F.max(txy[1])).first()
     found = None
@@ -51,11 +53,13 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target: str, xy: tu
             pairs = _cell(left, *xy, size).join(_cell(places, *txy, size, ring=1), ["_cx", "_cy"])
             pairs = pairs.withColumn("distance", F.hypot(F.col(xy[0]) - F.col(txy[0]), F.col(xy[1]) - F.col(txy[1])))
             best = pairs.groupBy(key).agg(F.min(F.struct("distance", target)).alias("_b")).select(key, F.col(f"_b.{target}").alias(target), F.col("_b.distance").alias("distance"))
-            done = best if last else best.where(F.col("distance") <= size)
+            done = cut(best if last else best.where(F.col("distance") <= size))
             found = done if found is None else found.unionByName(done)
             if last:
                 break
-            left = left.join(done, key, "left_anti")
+            left = cut(left.join(done, key, "left_anti"))
+            if left.isEmpty():
+                break
             size *= 8
     if found is None:
         return points.select(key).withColumn(target, F.lit(None).cast(targets.schema[target].dataType)).withColumn("distance", F.lit(None).cast("double"))

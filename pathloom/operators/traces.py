@@ -53,14 +53,29 @@ def filled_steps(rows: DataFrame, keys: Sequence[str], step: Column, values: Seq
     return dense.join(own, [*keys, "step"], "left")
 
 
+#: Buckets of time for rows without keys.
+BUCKETS = 4096
+
+
 def as_of(rows: DataFrame, at: Column, known: DataFrame, known_at: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rows with the value of the latest known row at or before them (null if none), per key: a union and one running window, no range join."""
     flag = "_is_row"
     left = rows.withColumn("_at", at).withColumn(flag, F.lit(1)).withColumn("_v", F.lit(None).cast(known.schema[value].dataType))
     right = known.select(*keys, F.col(known_at).alias("_at"), F.col(value).alias("_v")).withColumn(flag, F.lit(0))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", flag).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn(value, F.last("_v", True).over(w)).where(F.col(flag) == 1).drop("_at", "_v", flag)
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_at", flag).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return both.withColumn(value, F.last("_v", True).over(w)).where(F.col(flag) == 1).drop("_at", "_v", flag)
+    # without keys in buckets of time, each of which knows the last value before it
+    low, high = both.agg(F.min(F.col("_at").cast("double")), F.max(F.col("_at").cast("double"))).first()
+    width = max(((high or 0.0) - (low or 0.0)) / BUCKETS, 1e-9)
+    both = both.withColumn("_b", F.coalesce(F.floor((F.col("_at").cast("double") - F.lit(low or 0.0)) / width), F.lit(-1)))
+    ends = both.where("_v is not null").groupBy("_b").agg(F.max_by("_v", "_at").alias("_end"))  # BUCKETS rows and one
+    spots = both.select("_b").distinct().join(ends, "_b", "left")
+    before = spots.select("_b", F.last("_end", True).over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    w = Window.partitionBy("_b").orderBy("_at", flag).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.join(F.broadcast(before), "_b").withColumn(value, F.coalesce(F.last("_v", True).over(w), F.when(F.col("_at").isNotNull(), F.col("_before"))))
+    return out.where(F.col(flag) == 1).drop("_at", "_v", "_b", "_before", flag)
 
 
 def as_of_small(rows: DataFrame, at: Column, known: DataFrame, known_at: str, most: int = 10_000) -> DataFrame:

@@ -301,7 +301,17 @@ def shortest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.routes(P.starts_of(e, ods, "base_min"), I.priced_turns(turns_of(spark, sf_dir), e, F.col("base_min"), F.lit(0.0)), e, ods)
 
 
-@query()
+#: Least-cost routes walked back from the links that reach a pair's end: w(origin, dest, linkid, reverse_link).
+_WALKED = """, rm as materialized (select * from r), fp as materialized (select * from {fx_priced}),
+  pairs as materialized (select origin, dest, sum(trips) as trips from {fx_od_nodes} group by 1, 2),
+  ends as materialized (select p.origin, p.dest, r.linkid, r.reverse_link, row_number() over (partition by p.origin, p.dest order by round(r.d, 9), r.linkid, r.reverse_link) as k from pairs p join {fx_costs} c on c.B = p.dest
+    join rm r on r.origin = p.origin and r.linkid = c.linkid and r.reverse_link = c.reverse_link where p.origin <> p.dest),
+  w as (select origin, dest, linkid, reverse_link from ends where k = 1 union select w.origin, w.dest, t.source_linkid, t.source_reverse_link from w join rm me on me.origin = w.origin and me.linkid = w.linkid and me.reverse_link = w.reverse_link
+    join fp t on t.target_linkid = w.linkid and t.target_reverse_link = w.reverse_link join rm q on q.origin = w.origin and q.linkid = t.source_linkid and q.reverse_link = t.source_reverse_link where abs(q.d + t.total_cost - me.d) < 1e-9)
+"""
+
+
+@query(reach_sql() + _WALKED + "select linkid, reverse_link, cast(sum(trips) as bigint) as trips from w join pairs on pairs.origin = w.origin and pairs.dest = w.dest group by 1, 2")
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips over each directed link of the least-impedance routes."""
     edges = P.edges_of_routes(routes_of(spark, sf_dir))
