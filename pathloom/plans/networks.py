@@ -306,8 +306,12 @@ _WALKED = """, rm as materialized (select * from r), fp as materialized (select
   pairs as materialized (select origin, dest, sum(trips) as trips from {fx_od_nodes} group by 1, 2),
   ends as materialized (select p.origin, p.dest, r.linkid, r.reverse_link, row_number() over (partition by p.origin, p.dest order by round(r.d, 9), r.linkid, r.reverse_link) as k from pairs p join {fx_costs} c on c.B = p.dest
     join rm r on r.origin = p.origin and r.linkid = c.linkid and r.reverse_link = c.reverse_link where p.origin <> p.dest),
-  w as (select origin, dest, linkid, reverse_link from ends where k = 1 union select w.origin, w.dest, t.source_linkid, t.source_reverse_link from w join rm me on me.origin = w.origin and me.linkid = w.linkid and me.reverse_link = w.reverse_link
-    join fp t on t.target_linkid = w.linkid and t.target_reverse_link = w.reverse_link join rm q on q.origin = w.origin and q.linkid = t.source_linkid and q.reverse_link = t.source_reverse_link where abs(q.d + t.total_cost - me.d) < 1e-9)
+  every as (select origin, linkid, reverse_link from ends where k = 1 union select w.origin, t.source_linkid, t.source_reverse_link from every w join rm me on me.origin = w.origin and me.linkid = w.linkid and me.reverse_link = w.reverse_link
+    join fp t on t.target_linkid = w.linkid and t.target_reverse_link = w.reverse_link join rm q on q.origin = w.origin and q.linkid = t.source_linkid and q.reverse_link = t.source_reverse_link where abs(q.d + t.total_cost - me.d) < 1e-9),
+  pr as materialized (select r.origin, r.linkid, r.reverse_link, min(struct_pack(l := t.source_linkid, b := t.source_reverse_link)) as s from every v join rm r on r.origin = v.origin and r.linkid = v.linkid and r.reverse_link = v.reverse_link
+    join fp t on t.target_linkid = r.linkid and t.target_reverse_link = r.reverse_link
+    join rm q on q.origin = r.origin and q.linkid = t.source_linkid and q.reverse_link = t.source_reverse_link where abs(q.d + t.total_cost - r.d) < 1e-9 group by 1, 2, 3),
+  w as (select origin, dest, linkid, reverse_link from ends where k = 1 union all select w.origin, w.dest, pr.s.l, pr.s.b from w join pr on pr.origin = w.origin and pr.linkid = w.linkid and pr.reverse_link = w.reverse_link)
 """
 
 
