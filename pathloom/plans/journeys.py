@@ -207,7 +207,8 @@ def od_costs_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pso_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A coefficient found again from routes made with known ones: the trace of the best loss. Each round's swarm is priced and routed in one job."""
+    """All coefficients searched for in routes made with known ones: the best loss after each round, then each coefficient as it was and as it was found. Each
+    round's swarm is priced and routed in one job."""
     lengths = street_network(spark, sf_dir)[0].select("linkid", "reverse_link", "len")
     routed = lambda population: P.edges_of_routes(street_routes(spark, sf_dir, population)).join(lengths, ["linkid", "reverse_link"])
     truth = cut(routed([STREETS]).drop("candidate"))
@@ -219,9 +220,10 @@ def pso_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = {r["candidate"]: r["loss"] for r in C.LOSSES["jaccard_total"](pairs).collect()}
         return [found.get(i) for i in range(len(population))]
 
-    terms = [I.Term("is_road", "link", range=(0.0, 2.0)), *[I.Term(x.col, x.type, x.beta, (x.beta, x.beta)) for x in STREETS[1:]]]
-    betas, loss, trace = C.fit(terms, evaluate, C.Swarm(size=4, rounds=3, seed=1))
-    return spark.createDataFrame([(k, float(v), round(betas[0], 6)) for k, v in trace], "round int, loss double, beta double")
+    free = [I.Term(x.col, x.type, range=r) for x, r in zip(STREETS, ((0.0, 2.0), (-0.9, 0.5), (0.0, 1.0), (0.0, 1.0)))]
+    betas, loss, trace = C.fit(free, evaluate, C.Swarm(size=10, rounds=10, seed=1))
+    rows = [(k, float(v), None, None, None) for k, v in trace] + [(None, loss, t.col, t.beta, round(b, 6)) for t, b in zip(STREETS, betas)]
+    return spark.createDataFrame(rows, "round int, loss double, term string, known double, found double")
 
 
 # --- transit -------------------------------------------------------------------------------------------------
