@@ -6,18 +6,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathloom.common import floor_div
 
 
 def with_pieces(rows: DataFrame, order: str, size: int, context: int) -> DataFrame:
-    """Rows with `piece` and `own`: each row belongs to the piece of its order value, and to a neighbouring one as context if it lies near it."""
+    """Rows of recordings (`rec`) with `piece` and `own`: each row belongs to the piece of its order value; the rows of the last and the first `context` order values
+    that a piece has also come, as context, to the next and the previous piece that the recording has, however far away that is."""
     o = F.col(order)
-    near = F.sequence(floor_div(o - context, size), floor_div(o + context, size))
-    rows = rows.withColumn("piece", F.explode(near)).withColumn("own", F.col("piece") == floor_div(o, size))
-    return rows.where(F.col("own") | (F.col("piece") >= 0))
+    rows = rows.withColumn("piece", floor_div(o, size)).withColumn("own", F.lit(True))
+    if rows.where((o >= size) | (o < 0)).isEmpty():  # as a rule the files' statistics tell
+        return rows
+    each = Window.partitionBy("rec").orderBy("piece")
+    beside = rows.select("rec", "piece").distinct().withColumn("_before", F.lag("piece").over(each)).withColumn("_after", F.lead("piece").over(each)).where("_before is not null or _after is not null")
+    inside = Window.partitionBy("rec", "piece")
+    near = rows.join(beside, ["rec", "piece"]).withColumn("_first", F.dense_rank().over(inside.orderBy(order))).withColumn("_last", F.dense_rank().over(inside.orderBy(F.desc(order))))
+    to = F.array_compact(F.array(F.when(F.col("_first") <= context, F.col("_before")), F.when(F.col("_last") <= context, F.col("_after"))))
+    copies = near.withColumn("piece", F.explode(to)).withColumn("own", F.lit(False))
+    return rows.unionByName(copies.select(*rows.columns))
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:

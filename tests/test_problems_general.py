@@ -270,6 +270,14 @@ class TestSpikes:
         assert self.cases(self.found(spark, {1: vs})) == whole
         assert len(whole) == 4 + 15
 
+    def test_pieces_with_holes_between(self, spark, monkeypatch):
+        """A stuck run goes on over a hole in the counter that is wider than a piece."""
+        vs = [(i, 5.0 + i % 3) for i in range(250)] + [(250 + i, 9.0) for i in range(6)] + [(2000 + i, 9.0) for i in range(6)] + [(2006 + i, 5.0 + i % 3) for i in range(50)]
+        data = [(1, i, float(i * 5), None, None, v, None, "") for i, v in vs]
+        monkeypatch.setattr("pathloom.operators.spikes.PIECE", 256)
+        got = self.cases(implausible_readings(timed(spark.createDataFrame(data, PINGS)), "rec", "seq", "at", "v"))
+        assert got == {(1, i, "stuck") for i in [*range(250, 256), *range(2000, 2006)]}
+
     def test_defined_cases(self, spark):
         assert self.found(spark, {}).count() == 0
         none = self.found(spark, {1: [None, -1.0, float("nan")], 2: [5.0]})
