@@ -43,14 +43,14 @@ def normal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select linkid, case when grade < 2 then 'flat' when grade < 5 then 'mild' when grade < 9.5 then 'steep' end as grade, case speed_class when 0 then 25 when 1 then 35 when 2 then 45 end as speed,
+    """select linkid, case when grade < 2 then 'flat' when grade < 5 then 'mild' when grade < 9.5 then 'steep' end as grade, case speed_class when 0 then '25' when 1 then '35' when 2 then '45' end as speed,
     case when lanes_a is null or lanes_a < 0 then null when lanes_a <= 1 then 'one' when lanes_a <= 3 then 'few' when lanes_a <= 4 then 'many' end as lanes from {fx_attributes}"""
 )
 def attributes_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins closed on the left and on the right, and values by a dictionary."""
     a = fixture(spark, sf_dir, "fx_attributes")
     return a.select(
-        "linkid", S.left_closed_bin(F.col("grade"), [0, 2, 5, 9.5], ["flat", "mild", "steep"]).alias("grade"), T.recoded(F.col("speed_class").cast("string"), {"0": "25", "1": "35", "2": "45"}).cast("int").alias("speed"),
+        "linkid", S.left_closed_bin(F.col("grade"), [0, 2, 5, 9.5], ["flat", "mild", "steep"]).alias("grade"), T.recoded(F.col("speed_class").cast("string"), {"0": "25", "1": "35", "2": "45"}).alias("speed"),
         S.right_closed_bin(F.col("lanes_a"), [0, 1, 3, 4], ["one", "few", "many"]).alias("lanes"),
     )
 
@@ -175,9 +175,10 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "fx_links").select("linkid", way.alias("way"), nodes.alias("nodes"), far.alias("far"))
 
 
-@query("select linkid, case when linkid % 5 in (0, 1, 2) then null else cast(linkid % 4 as integer) end as place from {fx_links}")
+@query("select linkid, case when linkid % 5 in (0, 1, 2) then -1 else cast(linkid % 4 as integer) end as place from {fx_links}")
 def sublist_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ways(spark, sf_dir).select("linkid", S.sublist_start(F.col("way"), F.col("nodes")).alias("place"))
+    """Where a link's nodes begin in their way, -1 where they don't stand in it."""
+    return ways(spark, sf_dir).select("linkid", F.coalesce(S.sublist_start(F.col("way"), F.col("nodes")), F.lit(-1)).alias("place"))
 
 
 @query("select linkid, case linkid % 5 when 0 then case when linkid % 3 = 0 then 'forward' end when 1 then 'reverse' when 2 then null else 'forward' end as direction from {fx_links}")
@@ -299,10 +300,10 @@ def od_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- rows ----------------------------------------------------------------------------------------------------
 
 
-@query("select linkid, cast(null as bigint) as other_linkid, cast(null as bigint) as other_A from {fx_links}")
+@query("select linkid, cast(null as varchar) as other_linkid, cast(null as varchar) as other_A from {fx_links}")
 def join_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Empty columns for the ids of another network's matches."""
-    return fixture(spark, sf_dir, "fx_links").select("linkid", *[F.lit(None).cast("bigint").alias(f"other_{c}") for c in ("linkid", "A")])
+    return fixture(spark, sf_dir, "fx_links").select("linkid", *[F.lit(None).cast("string").alias(f"other_{c}") for c in ("linkid", "A")])
 
 
 @query("select a.n_nationkey as orig, b.n_nationkey as dest, s.scenario from {nation} a, {nation} b, (select unnest(['current', 'future']) as scenario) s where a.n_nationkey <> b.n_nationkey")
