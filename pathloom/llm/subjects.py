@@ -23,7 +23,7 @@ LABELLED = 20_000
 #: What a subject's title or scope adds to the counts of its words.
 SCOPE_WEIGHT = 2.0
 #: Sentences (of labels: documents) that say as much of a term as what is usual.
-FEW = 4
+FEW = 2
 #: In how many labelled documents a term must stand for its labels to count half; what labels count beside the corpus then.
 TRUSTED, ANCHOR = 8, 1.0
 #: Alternating passes at most; they end when no component's terms move by more than SETTLED of its weight. Updates of the mixtures in a pass.
