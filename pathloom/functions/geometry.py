@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,29 +25,46 @@ def line_length(points: Column) -> Column:
     return F.aggregate(legs, F.lit(0.0), lambda s, d: s + d)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses another many times, which is only computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def measures(points: Column) -> Column:
     """Distance along the line of each of its points."""
     steps = F.transform(points, lambda p, i: F.when(i == 0, F.lit(0.0)).otherwise(F.hypot(p["x"] - F.get(points, i - 1)["x"], p["y"] - F.get(points, i - 1)["y"])))
-    return F.transform(steps, lambda _, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0.0), lambda s, d: s + d))
+    return _once(steps, lambda s: F.transform(s, lambda _, i: F.aggregate(F.slice(s, F.lit(1), i + 1), F.lit(0.0), lambda t, d: t + d)))
 
 
-def point_at(points: Column, distance: Column) -> Column:
-    """The point a distance along a line (its ends outside)."""
-    m = measures(points)
+def _point_at(points: Column, m: Column, distance: Column) -> Column:
+    """point_at with the measures at hand."""
     after = F.filter(F.sequence(F.lit(1), F.greatest(F.size(points) - 1, F.lit(1))), lambda i: F.get(m, i) >= distance)
     i = F.coalesce(F.get(after, F.lit(0)), F.size(points) - 1)
-    a, b = F.get(points, i - 1), F.get(points, i)
-    leg = F.get(m, i) - F.get(m, i - 1)
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((distance - F.get(m, i - 1)) / F.nullif(leg, F.lit(0.0)), F.lit(0.0))))
-    return F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+
+    def between(i: Column) -> Column:
+        a, b = F.get(points, i - 1), F.get(points, i)
+        leg = F.get(m, i) - F.get(m, i - 1)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((distance - F.get(m, i - 1)) / F.nullif(leg, F.lit(0.0)), F.lit(0.0))))
+        return F.struct((a["x"] + t * (b["x"] - a["x"])).alias("x"), (a["y"] + t * (b["y"] - a["y"])).alias("y"))
+
+    return _once(i, between)
+
+
+def point_at(points: Column, distance: Column) -> Column:
+    """The point a distance along a line (its ends outside)."""
+    return _once(measures(points), lambda m: _point_at(points, m, distance))
 
 
 def points_every(points: Column, distance: float) -> Column:
-    """The start and every point a distance farther along; for lines not longer than it only the two ends."""
-    total = line_length(points)
-    n = F.ceil(total / distance) - 1
-    inner = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n, F.lit(0).cast("bigint"))), lambda k: point_at(points, k * distance))
-    return F.when(total <= distance, F.array(F.get(points, F.lit(0)), F.get(points, F.size(points) - 1))).otherwise(inner)
+    """The start and every point a distance farther along; for lines not longer than it only the two ends. Each line is measured once."""
+
+    def along(m: Column) -> Column:
+        total = F.coalesce(F.element_at(m, -1), F.lit(0.0))
+        n = F.ceil(total / distance) - 1
+        inner = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(n, F.lit(0).cast("bigint"))), lambda k: _point_at(points, m, k * distance))
+        return F.when(total <= distance, F.array(F.get(points, F.lit(0)), F.get(points, F.size(points) - 1))).otherwise(inner)
+
+    return _once(measures(points), along)
 
 
 def route_line(lines: Column) -> Column:
