@@ -19,7 +19,7 @@ def by_sql(name):
     return con.execute(entry.oracle_sql()[name]).fetchall()
 
 
-@pytest.mark.parametrize("name", ["betweenness", "percent_detour", "bikeshed", "bounded_sssp", "bikeshed_change", "impedance_change_zone"])
+@pytest.mark.parametrize("name", ["betweenness", "percent_detour", "bikeshed", "bounded_sssp", "bikeshed_change", "impedance_change_zone", "shortest_path_cost"])
 def test_no_table_of_turns(spark, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("turns grow with the square of a node's degree")
