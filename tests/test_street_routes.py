@@ -17,3 +17,11 @@ def test_costs_alone_walk_nothing_back(spark, monkeypatch):
     routes = {(r["origin"], r["dest"]): r["cost"] for r in entry.queries()["od_routes"](spark, DATA).collect()}
     assert seen == [False, True] and costs.keys() == routes.keys() and costs
     assert all(costs[k] == pytest.approx(routes[k], abs=1e-5) for k in costs)
+
+
+def test_routes_in_steps_of_arrays(spark, monkeypatch):
+    """No search by heap per origin: routes of many origins are walked back together."""
+    calls = []
+    monkeypatch.setattr(W, "share", lambda s, a, f=W.share: calls.append(set(a)) or f(s, a))
+    rows = entry.queries()["od_routes"](spark, DATA).collect()
+    assert rows and calls and {"src", "dst", "start_state", "end_state"} <= calls[0]
