@@ -25,3 +25,11 @@ def test_routes_in_steps_of_arrays(spark, monkeypatch):
     monkeypatch.setattr(W, "share", lambda s, a, f=W.share: calls.append(set(a)) or f(s, a))
     rows = entry.queries()["od_routes"](spark, DATA).collect()
     assert rows and calls and {"src", "dst", "start_state", "end_state"} <= calls[0]
+
+
+def test_years_share_a_graph_and_walk_nothing_back(spark, monkeypatch):
+    seen = []
+    routed = entry.importlib.import_module("pathloom.operators.routing")._routed
+    monkeypatch.setattr("pathloom.operators.routing._routed", lambda *a, ways=True, **k: seen.append(ways) or routed(*a, ways=ways, **k))
+    assert entry.queries()["od_costs_by_year"](spark, DATA).count() > 0
+    assert seen == [False]
