@@ -33,3 +33,14 @@ def test_years_share_a_graph_and_walk_nothing_back(spark, monkeypatch):
     monkeypatch.setattr("pathloom.operators.routing._routed", lambda *a, ways=True, **k: seen.append(ways) or routed(*a, ways=ways, **k))
     assert entry.queries()["od_costs_by_year"](spark, DATA).count() > 0
     assert seen == [False]
+
+
+def test_sets_of_coefficients_in_one_plan(spark):
+    """All sets priced in one plan cost what each costs alone, and the plan doesn't grow with them."""
+    from pathloom.operators import impedance as I
+    from pathloom.plans import journeys as J
+
+    sets = [J.STREETS, [I.Term(t.col, t.type, t.beta / 3) for t in J.STREETS]]
+    both = {(r["candidate"], r["origin"], r["dest"]): (r["d"], r["edges"]) for r in J.street_routes(spark, DATA, sets).collect()}
+    alone = {(i, r["origin"], r["dest"]): (r["d"], r["edges"]) for i, x in enumerate(sets) for r in J.street_routes(spark, DATA, [x]).collect()}
+    assert both == alone and both
