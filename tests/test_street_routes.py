@@ -44,3 +44,13 @@ def test_sets_of_coefficients_in_one_plan(spark):
     both = {(r["candidate"], r["origin"], r["dest"]): (r["d"], r["edges"]) for r in J.street_routes(spark, DATA, sets).collect()}
     alone = {(i, r["origin"], r["dest"]): (r["d"], r["edges"]) for i, x in enumerate(sets) for r in J.street_routes(spark, DATA, [x]).collect()}
     assert both == alone and both
+
+
+def test_many_origins_share_a_step(spark, monkeypatch):
+    """On a street network of 162,000 states two dozen origins are searched together, and how many are changes no route."""
+    assert [p.stop - p.start for p in W.groups(50, 162_000, True)] == [24, 24, 2]
+    read = lambda: sorted(tuple(r) for r in entry.queries()["od_routes"](spark, DATA).collect())
+    want = read()
+    monkeypatch.setattr(W, "AT_ONCE_TURNS", 1)
+    assert [p.stop - p.start for p in W.groups(2, 10, True)] == [1, 1]
+    assert read() == want and want
