@@ -46,11 +46,38 @@ def test_sets_of_coefficients_in_one_plan(spark):
     assert both == alone and both
 
 
-def test_many_origins_share_a_step(spark, monkeypatch):
-    """On a street network of 162,000 states two dozen origins are searched together, and how many are changes no route."""
+def test_many_origins_share_a_step():
+    """On a street network of 162,000 states two dozen origins are searched together."""
     assert [p.stop - p.start for p in W.groups(50, 162_000, True)] == [24, 24, 2]
-    read = lambda: sorted(tuple(r) for r in entry.queries()["od_routes"](spark, DATA).collect())
-    want = read()
-    monkeypatch.setattr(W, "AT_ONCE_TURNS", 1)
-    assert [p.stop - p.start for p in W.groups(2, 10, True)] == [1, 1]
-    assert read() == want and want
+
+
+def test_years_searched_together_cost_what_each_origin_costs(monkeypatch):
+    """Two years' costs, one with closed links, as a search of each origin by heap has them, however many are searched at once."""
+    import heapq
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(6)
+    n = 60
+    turns = [(c, rnd.randrange(n), rnd.randrange(n), 9e9 if c and rnd.random() < 0.2 else rnd.choice([0.0, 0.5, rnd.random()])) for c in (0, 1) for _ in range(150)]
+    turns.sort()
+    starts = sorted((c, i, rnd.randrange(n), rnd.random()) for c in (0, 1) for i in range(12) for _ in range(2))
+    a = {k: np.array([x[i] for x in rows], t) for rows, cols in ((turns, (("candidate", "i4"), ("src", "i4"), ("dst", "i4"), ("cost", "f8"))), (starts, (("start_candidate", "i4"), ("start_node", "i8"), ("start_state", "i4"), ("start_cost", "f8")))) for i, (k, t) in enumerate(cols)}
+    a |= {"code": np.arange(n) * 2, "end_node": np.arange(n), "end_state": np.arange(n, dtype="i4")}
+    for c in (0, 1):
+        want = np.full((12, n), np.inf)
+        for i in range(12):
+            heap = sorted((d, s) for x, o, s, d in starts if x == c and o == i)
+            while heap:
+                d, s = heapq.heappop(heap)
+                if d >= want[i, s]:
+                    continue
+                want[i, s] = d
+                for x, f, t, w in turns:
+                    if x == c and f == s:
+                        heapq.heappush(heap, (d + w, t))
+        for at_once in (1, 5 * n, 12 * n):
+            monkeypatch.setattr(W, "AT_ONCE_TURNS", at_once)
+            got = np.vstack([W.least(W.TurnGraph(a, c), np.arange(12)[p]) for p in W.groups(12, n, True)])
+            assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
