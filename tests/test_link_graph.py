@@ -62,3 +62,24 @@ def test_against_joins(spark):
         assert own[way[0]][0] == r["origin"] and own[way[-1]][1] == r["dest"]
         assert own[way[0]][2] + sum(price[(*a, *b)] for a, b in zip(way, way[1:])) == pytest.approx(r["d"])
         assert r["d"] == min(d for (o_, *k), d in want.items() if o_ == r["origin"] and own[tuple(k)][1] == r["dest"])
+
+
+def test_few_rounds_and_the_same_costs(spark):
+    """States are gone on from together over a fifth of a link's mean cost: few rounds; costs don't depend on it."""
+    import numpy as np
+
+    from pathloom.operators import sweeps as W
+
+    rnd = random.Random(9)
+    rows = [(i, bool(r), *(ends if not r else ends[::-1]), rnd.uniform(0, 360), rnd.uniform(0.5, 10)) for i, ends in enumerate([(rnd.randrange(40), rnd.randrange(40)) for _ in range(160)]) for r in (0, 1)]
+    e = spark.createDataFrame(rows, "linkid bigint, reverse_link boolean, A bigint, B bigint, azimuth double, cost double")
+    links = P.link_graph(e, {"now": ("cost", {"left": 0.1, "uturn": 0.3})})
+    g = links.make(links.graph.open(), 0)
+    usual, found, rounds = g.step, [], []
+    for step in (usual, usual / 4, usual * 50):
+        g.step, calls, make = step, [], W.LinkGraph.expander.__get__(g)
+        g.expander = lambda s, make=make, calls=calls: (lambda *x, f=make(s): calls.append(1) or f(*x))
+        found.append(W.least(g, np.arange(40)))
+        rounds.append(len(calls))
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+    assert usual == pytest.approx(np.mean([r[-1] for r in rows]) / 5) and rounds[0] < rounds[1]
