@@ -34,3 +34,20 @@ def test_side_paths_look_up_few_samples(spark, data, monkeypatch):
 
     monkeypatch.setattr(X, "near_segments", refuse)
     assert entry.queries()["side_paths"](spark, data).count() > 0
+
+
+def _sent(spark):
+    """Rows that stages have written for others so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_long_segments_are_sent_few_times(spark):
+    lines = [(i, 100.0 * i, 0.0, 100.0 * i + 3000.0, 6000.0) for i in range(50)]
+    a, b = (spark.createDataFrame(lines, f"{k} bigint, ax double, ay double, bx double, by double") for k in ("k", "o"))
+    before = _sent(spark)
+    assert A.share_along(a, "k", b, "o", 50.0, 50.0, 0.2, 30.0).count() >= 50
+    # each crosses over 20 cells of 400 and has 5 samples
+    assert _sent(spark) - before < 50 * 14
